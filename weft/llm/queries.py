@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import quality, secrets, sharding, urls
+from weft.llm import bpe, counting, fingerprints, jaccard, packing, quality, repeats, secrets, sharding, urls
+
+
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,12 +34,38 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "shard_id", "shard_depth", "row_bytes", "shard_bytes")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove(_documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = counting.count_tokens(_documents(spark, sf_dir).select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+    return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.against_next(_documents(spark, sf_dir))
+
+
+def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_documents(spark, sf_dir), vocabulary("byte_bpe_multi_50k.tiktoken"))
+
+
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(_documents(spark, sf_dir))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_sharding, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_sharding, op4_packing, op5_suffix_array_dedup, op6_token_counts, op7_document_fingerprints, op8_byte_level_bpe, op9_ngram_jaccard_join, op10_url_filters)}
 
 
 def _op1_sql() -> str:
