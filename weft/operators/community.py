@@ -15,7 +15,7 @@ from weft.schema import COMMUNITY_EDGES, EDGES, NODES, PHASE, PHASES
 WEIGHTS = {"CALLS": 3.0, "IMPORTS": 2.0, "HAS_METHOD": 2.0, "EXTENDS": 2.0, "CONTAINS": 1.0, "IMPORTS_EXTERNAL": 0.5}
 RESOLUTIONS = (0.5, 1.0, 2.0)
 #: Edges up to which a component is clustered in one task; larger ones move in rounds of joins.
-SMALL, ROUNDS = 1_000_000, 20
+SMALL, ROUNDS, LEVELS = 1_000_000, 20, 10
 
 
 def projection(edges: DataFrame) -> DataFrame:
@@ -94,14 +94,11 @@ def modularity(pairs: Iterable[tuple], label: dict, resolution: float = 1.0) ->
     return inside / total - resolution * sum((d / (2 * total)) ** 2 for d in degree.values()) if total else 0.0
 
 
-def _moved(pairs: DataFrame, resolution: float) -> DataFrame:
-    """(node, label) by synchronous local moves, for graphs beyond one task. A node moves to the neighbouring community
-    with the greatest gain; odd rounds allow only moves to lesser labels and even rounds to greater ones, so that two
-    nodes never swap for ever."""
-    both = cut(pairs.select(F.col("a").alias("v"), F.col("b").alias("u"), "weight").unionByName(pairs.select(F.col("b").alias("v"), F.col("a").alias("u"), "weight")))
-    degree = cut(both.groupBy("v").agg(F.sum("weight").alias("k")))
-    total = degree.agg(F.sum("k").alias("t")).first()["t"] or 1.0
-    label = cut(degree.select("v", F.col("v").alias("c"), "k"))
+def _local(both: DataFrame, degree: DataFrame, total: float, resolution: float) -> DataFrame:
+    """(v, c) after synchronous local moves. A node moves to the neighbouring community with the greatest gain, the
+    least of equals; odd rounds allow only moves to greater labels and even ones to lesser, so that two nodes never
+    swap for ever. It ends when neither kind moves any."""
+    label, still = cut(degree.select("v", F.col("v").alias("c"), "k")), 0
     for turn in range(ROUNDS):
         held = label.groupBy("c").agg(F.sum("k").alias("held"))
         near = both.join(label.select(F.col("v").alias("u"), "c"), "u").groupBy("v", "c").agg(F.sum("weight").alias("w"))
@@ -111,14 +108,31 @@ def _moved(pairs: DataFrame, resolution: float) -> DataFrame:
         rest = F.col("held") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)
         gain = F.round(F.col("w") - resolution * F.col("k") * rest / total, 9)
         allowed = (F.col("c") <= F.col("now")) if turn % 2 == 0 else (F.col("c") >= F.col("now"))
-        best = options.filter(allowed).groupBy("v").agg(F.max_by("c", F.struct(gain, F.col("c") == F.col("now"), F.col("c"))).alias("c"))
-        new = cut(best.join(degree, "v").select("v", "c", "k"))
-        changed = new.join(label.select("v", F.col("c").alias("was")), "v").filter("c <> was")
-        done = changed.isEmpty()
-        label = new
-        if done and turn:
+        best = options.filter(allowed).groupBy("v", "now", "k").agg(F.min_by("c", F.struct(-gain, F.col("c") != F.col("now"), F.col("c"))).alias("c"))
+        new = cut(best)
+        still = still + 1 if new.filter("c <> now").isEmpty() else 0
+        label = new.select("v", "c", "k")
+        if still == 2:
+            break
+    return label.select("v", "c")
+
+
+def _moved(pairs: DataFrame, resolution: float) -> DataFrame:
+    """(node_id, label) for graphs beyond one task: local moves by joins, then communities become nodes, until nothing
+    moves."""
+    links = cut(pairs.select(F.col("a").alias("v"), F.col("b").alias("u"), "weight").unionByName(pairs.select(F.col("b").alias("v"), F.col("a").alias("u"), "weight")))
+    degree = cut(links.groupBy("v").agg(F.sum("weight").alias("k")))
+    total = degree.agg(F.sum("k").alias("t")).first()["t"] or 1.0
+    labels = degree.select(F.col("v").alias("node_id"), F.col("v").alias("label"))
+    for _ in range(LEVELS):
+        moved = cut(_local(links, degree, total, resolution))
+        if moved.filter("v <> c").isEmpty():
             break
-    return label.select(F.col("v").alias("node_id"), F.col("c").alias("label"))
+        labels = cut(labels.join(moved, F.col("label") == F.col("v")).select("node_id", F.col("c").alias("label")))
+        there = moved.select(F.col("v").alias("u"), F.col("c").alias("d"))
+        links = cut(links.join(moved, "v").join(there, "u").filter("c <> d").groupBy(F.col("c").alias("v"), F.col("d").alias("u")).agg(F.sum("weight").alias("weight")))
+        degree = cut(degree.join(moved, "v").groupBy(F.col("c").alias("v")).agg(F.sum("k").alias("k")))
+    return labels
 
 
 def partition(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, small: int = SMALL) -> DataFrame:

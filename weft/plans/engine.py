@@ -109,7 +109,7 @@ class Engine:
         """The viewer's subgraph as JSON."""
         chosen = search.graph_nodes(self.nodes, kinds, limit, self.repo)
         edges = search.induced(self.edges, chosen)
-        return json.dumps({"nodes": [json.loads(x) for x in chosen.toJSON().collect()], "edges": [json.loads(x) for x in edges.toJSON().collect()]})
+        return json.dumps({"nodes": snapshots.json_rows(chosen), "edges": snapshots.json_rows(edges)})
 
 
 TOOLS = ("search_code", "get_file_structure", "get_dependencies", "get_dependents", "get_call_graph", "find_related", "get_repo_summary", "query_graph", "get_communities", "semantic_search")

@@ -124,7 +124,12 @@ def export_vectors(store: DataFrame, path: str) -> None:
     os.replace(f"{path}.part", path)
 
 
+def json_rows(df: DataFrame) -> list[dict]:
+    """Few rows as dictionaries."""
+    return [json.loads(r["j"]) for r in df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("j")).collect()]
+
+
 def as_json(df: DataFrame, most: int = 1000) -> str:
     """A result as text: pretty JSON of at most `most` rows, or a line that there is none."""
-    rows = [json.loads(x) for x in df.limit(most).toJSON().collect()]
+    rows = json_rows(df.limit(most))
     return json.dumps(rows, indent=2, ensure_ascii=False) if rows else "No results found."
