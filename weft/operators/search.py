@@ -128,7 +128,8 @@ def repo_summary(nodes: DataFrame, edges: DataFrame, repo: str | None = None, st
     )
     own = edges.filter(F.col("repo") == repo) if strict and repo else edges
     linked = own.agg(F.count_if(F.col("type") == "IMPORTS").alias("import_count"), F.count_if(F.col("type") == "CALLS").alias("call_count"))
-    return counted.crossJoin(F.broadcast(linked))  # one row by one row
+    both = counted.unionByName(linked, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def communities(nodes: DataFrame, membership: DataFrame, level: int = 1, limit: int = COMMUNITIES_LIMIT) -> DataFrame:
