@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm import kernels
@@ -73,22 +73,31 @@ def anchors(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return row, found - offsets[row], h[found], kernels.mix((p[b] - p[a]) * inverse[a] + shape)
 
 
+def _place(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A number for a place, as place_column() has it: equal ones only repeat a representative."""
+    return (ids.astype(np.int64) << 24) ^ at
+
+
+def place_column() -> Column:
+    return F.shiftleft("__id", 24).bitwiseXOR(F.col("at").cast("bigint"))
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, slice, n), added up over some MB."""
+    """(anchor, slice, n, least place), added up over some MB."""
 
     def flush() -> pa.RecordBatch:
-        a, s = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-        order = np.lexsort((s, a))
-        a, s = a[order], s[order]
+        a, s, p = (np.concatenate([x[k] for x in held]) for k in range(3))
+        order = np.lexsort((p, s, a))
+        a, s, p = a[order], s[order], p[order]
         first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (s[1:] != s[:-1]))))
         n = np.diff(np.append(first, len(a)))
-        return pa.RecordBatch.from_arrays([pa.array(a[first].view(np.int64)), pa.array(s[first].view(np.int64)), pa.array(n)], names=["anchor", "slice", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(a[first].view(np.int64)), pa.array(s[first].view(np.int64)), pa.array(n), pa.array(p[first])], names=["anchor", "slice", "n", "place"])
 
     held, size = [], 0
     for batch in kernels.slices(batches, "__text", 1 << 20):
-        _, _, a, s = anchors(*kernels.utf8(batch.column("__text")))
+        row, at, a, s = anchors(*kernels.utf8(batch.column("__text")))
         if len(a):
-            held.append((a, s))
+            held.append((a, s, _place(batch.column("__id").to_numpy()[row], at)))
             size += len(a)
         if size >= _FLUSH:
             yield flush()
@@ -269,18 +278,19 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int =
     base = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "__id", "__hash", "__text")
     rows = base.withColumns({"__id": F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))), "__hash": F.hash(text), "__text": F.col(text)})
     plain = rows.select("__id", "__hash", "__text")
-    counted = plain.mapInArrow(_counted, "anchor bigint, slice bigint, n bigint").repartition("anchor")
-    counted = counted.groupBy("anchor", "slice").agg(F.sum("n").alias("n"))
+    counted = plain.mapInArrow(_counted, "anchor bigint, slice bigint, n bigint, place bigint").repartition("anchor")
+    counted = counted.groupBy("anchor", "slice").agg(F.sum("n").alias("n"), F.min("place").alias("place"))
     # Partitioned by anchor already, so the window doesn't shuffle again; it spills a large group.
     own = Window.partitionBy("anchor")
     live = counted.withColumns({"kinds": F.count("*").over(own), "all": F.sum("n").over(own)}).filter("all > 1").drop("all")
     live = scratch.table(live, "live")
     located = plain.mapInArrow(_located, "anchor bigint, slice bigint, __id bigint, __hash int, at int").join(live, ["anchor", "slice"])
-    located = scratch.table(located.select("anchor", "slice", "__id", "__hash", "at", (F.col("n") > 1).alias("again"), "kinds"), "located")
+    # One place of each slice stands for it where its anchor has others.
+    stands = (F.col("kinds") > 1) & (F.col("place") == place_column())
+    located = scratch.table(located.select("anchor", "__id", "__hash", "at", (F.col("n") > 1).alias("again"), stands.alias("stands"), (F.col("kinds") > hot).alias("hot")), "located")
+    scratch.drop("live")
     whole = located.filter("again").select("__id", "__hash", (F.col("at") - LEFT).alias("a"), (F.col("at") + RIGHT).alias("b"))
-    # One place of each slice whose anchor has others.
-    each = located.filter("kinds > 1").groupBy("anchor", "slice", "kinds", (~F.col("again")).alias("once")).agg(F.min(F.struct("__id", "__hash", "at")).alias("x"))
-    asked = each.select(F.col("x.__id").alias("__id"), F.col("x.__hash").alias("__hash"), F.lit(None).cast("string").alias("__text"), "anchor", F.col("x.at").alias("at"), "once", (F.col("kinds") > hot).alias("hot"))
+    asked = located.filter("stands").select("__id", "__hash", F.lit(None).cast("string").alias("__text"), "anchor", "at", (~F.col("again")).alias("once"), "hot")
     texts = plain.select("*", F.lit(None).cast("bigint").alias("anchor"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("boolean").alias("once"))
 
     def sliced(which: str) -> DataFrame:
@@ -288,11 +298,14 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int =
         return both.mapInArrow(_sliced, "anchor bigint, __id bigint, __hash int, at int, once boolean, data binary")
 
     spans = whole.unionByName(sliced("not hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_built, SPANS))
-    if not each.filter(F.col("kinds") > hot).isEmpty():
+    if not asked.filter("hot").isEmpty():
         strings = scratch.table(sliced("hot").mapInArrow(_strings, "string binary, " + SPANS), "strings")
-        again = strings.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1")
+        # Slices overlap, so a string can be here twice from one place.
+        spot = F.struct("__id", "__hash", "a")
+        again = strings.groupBy("string").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).filter("first <> last").select("string")
         spans = spans.unionByName(strings.join(again, "string").select("__id", "__hash", "a", "b"))
     spans = scratch.table(spans, "spans")
+    scratch.drop("located")
     blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in base.schema.fields if f.name != text]
     marks = spans.select(*blank, F.col("__id"), F.col("__hash"), F.lit(None).cast("string").alias("__text"), F.lit(0).alias("__kind"), "a", "b")
     columns = [c for c in base.columns if c != text]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,12 +28,15 @@ class Scratch:
         self.spark, self.root = spark, f"{folder(spark)}/weft/{name}-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
+        path, schema = f"{self.root}/{name}", df.schema
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         # The shuffles behind a written table are garbage; Spark deletes their files when the driver collects its own.
-        gc.collect()
-        self.spark._jvm.System.gc()
-        return self.spark.read.schema(df.schema).parquet(path)
+        del df
+        for pause in (0.2, 0):  # what the listeners still hold goes with the second
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(pause)
+        return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""
