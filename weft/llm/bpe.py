@@ -11,7 +11,6 @@ block, and blocks are of bounded size, so no key gathers more than others.
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,14 +24,15 @@ from pyspark.sql import functions as F
 from weft.llm import kernels, tokens
 from weft.llm.scratch import Scratch, partitions, pick
 
-#: Bytes of text in a block, about.
-BLOCK = 12 << 20
+#: Characters of text in a block, about.
+BLOCK = 24 << 20
 ROWS = "block string, kind int, part int, ids array<bigint>, data binary"
 
 
 def pack(*arrays: np.ndarray | bytes) -> bytes:
-    """Arrays as one compressed string, each with its length before it."""
-    raw = [a if isinstance(a, bytes) else a.tobytes() for a in arrays]
+    """Arrays as one compressed string, each with its length before it; 32-bit numbers byte by byte, which compresses
+    better."""
+    raw = [a if isinstance(a, bytes) else a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for a in arrays]
     return zstandard.ZstdCompressor(level=3).compress(b"".join(np.uint64(len(r)).tobytes() + r for r in raw))
 
 
@@ -40,7 +40,8 @@ def unpack(data: bytes, *kinds: type) -> list:
     raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
     for kind in kinds:
         n = int(np.frombuffer(raw, np.uint64, 1, at)[0])
-        out.append(raw[at + 8 : at + 8 + n] if kind is bytes else np.frombuffer(raw[at + 8 : at + 8 + n], kind))
+        part = raw[at + 8 : at + 8 + n]
+        out.append(part if kind is bytes else np.ascontiguousarray(np.frombuffer(part, np.uint8).reshape(4, -1).T).view("<u4").ravel())
         at += 8 + n
     return out
 
@@ -51,26 +52,38 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "kind", "part", "ids", "data"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """kind 0: the words of a block in a bucket; 1: the bucket of each word; 2: documents as positions of words."""
+def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, positions: bool) -> Iterator[pa.RecordBatch]:
+    """Blocks of documents: kind 0, the words of a block in a bucket, in order; or, with `positions`, kind 1, where each
+    word stands in that order, and kind 2, documents as positions of words, the most frequent word first.
+
+    A block is named by its texts, so both kinds of rows find each other whichever task made them."""
 
     def flush() -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        block, words = uuid.uuid4().hex, [w.encode() for w in index]
+        block = digest.hexdigest()
+        words = [w.encode() for w in index]
         bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.uint32, len(words))
-        order = np.argsort(bucket, kind="stable")
-        found, at = np.unique(bucket[order], return_index=True)
-        for k, a, b in zip(found, at, [*at[1:], len(words)], strict=True):
-            own = [words[i] for i in order[a:b]]
-            yield _rows([(block, 0, int(k), [], pack(np.fromiter(map(len, own), np.uint32, len(own)), b"".join(own)))])
-        yield _rows([(block, 1, 0, [], pack(bucket))])
+        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        order = order[np.argsort(bucket[order], kind="stable")]
+        if not positions:
+            found, at = np.unique(bucket[order], return_index=True)
+            for k, a, b in zip(found, at, [*at[1:], len(words)], strict=True):
+                own = [words[i] for i in order[a:b]]
+                yield _rows([(block, 0, int(k), [], pack(np.fromiter(map(len, own), np.uint32, len(own)), b"".join(own)))])
+            return
+        often = np.bincount(np.concatenate([places for _, _, places in held]), minlength=len(words))
+        by_rank = np.argsort(-often, kind="stable")
+        rank, place = np.empty(len(words), np.uint32), np.empty(len(words), np.uint32)
+        rank[by_rank] = np.arange(len(words), dtype=np.uint32)
+        place[order] = np.arange(len(words), dtype=np.uint32)
+        yield _rows([(block, 1, 0, [], pack(place[by_rank]))])
         for part, (ids, ends, places) in enumerate(held):
-            yield _rows([(block, 2, part, ids, pack(ends, places))])
+            yield _rows([(block, 2, part, ids, pack(ends, rank[places]))])
 
     index: defaultdict = defaultdict()
     index.default_factory = index.__len__
-    held, size = [], 0
+    held, size, digest = [], 0, hashlib.blake2b(digest_size=16)
     for batch in kernels.slices(batches, "text"):
         places, ends, n = [], [], 0
         for t in batch.column("text").to_pylist():
@@ -78,12 +91,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
             places.append(np.fromiter(map(index.__getitem__, cut), np.uint32, len(cut)))
             n += len(cut)
             ends.append(n)
-            size += len(t or "")
-        held.append((batch.column("id").to_pylist(), np.array(ends, np.uint64), np.concatenate(places)))
+            raw = (t or "").encode()
+            size += len(raw)
+            digest.update(len(raw).to_bytes(8, "little") + raw)
+        held.append((batch.column("id").to_pylist(), np.array(ends, np.uint32), np.concatenate(places)))
         if size >= BLOCK:
             yield from flush()
             index.clear()
-            held, size = [], 0
+            held, size, digest = [], 0, hashlib.blake2b(digest_size=16)
     yield from flush()
 
 
@@ -91,7 +106,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.R
     """Rows of kind 0, sorted by bucket, with the words' ids in place of the words."""
     bucket, known = None, {}
     for batch in batches:
-        for row in batch.to_pylist():
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
             if row["part"] != bucket:
                 bucket, known = row["part"], {}
             sizes, text = unpack(row["data"], np.uint32, bytes)
@@ -101,7 +117,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.R
             for w, ids in zip(new, tokens.encode(tokenizer, [w.decode() for w in new]), strict=True):
                 known[w] = np.array(ids, np.uint32).tobytes()
             ids = [known[w] for w in words]
-            yield _rows([(row["block"], 0, row["part"], [], pack(np.fromiter(map(len, ids), np.uint32, len(ids)) // 4, b"".join(ids)))])
+            yield _rows([(row["block"], 0, row["part"], [], pack(np.fromiter(map(len, ids), np.uint32, len(ids)) // 4, np.frombuffer(b"".join(ids), np.uint32)))])
 
 
 def _assembled(batches: Iterator[pa.RecordBatch], tokenizer: str, ids_out: bool) -> Iterator[pa.RecordBatch]:
@@ -109,18 +125,19 @@ def _assembled(batches: Iterator[pa.RecordBatch], tokenizer: str, ids_out: bool)
     block, parts, said, decoded, lengths = None, {}, [], [], np.zeros(0, np.int64)
     table = tokens.held(("bytes", tokenizer), lambda: token_bytes(tokenizer))
     for batch in batches:
-        for row in batch.to_pylist():
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
             if row["block"] != block:
                 block, parts = row["block"], {}
             if row["kind"] == 0:
                 parts[row["part"]] = row["data"]
             elif row["kind"] == 1:
-                (bucket,) = unpack(row["data"], np.uint32)
-                order = np.argsort(bucket, kind="stable")
+                (place,) = unpack(row["data"], np.uint32)
+                order = np.argsort(place)  # the word at each place
                 said, decoded, lengths = [b""] * len(order), [b""] * len(order), np.zeros(len(order), np.int64)
                 at = 0
-                for k in sorted(parts):
-                    sizes, raw = unpack(parts[k], np.uint32, np.uint32)
+                for bucket in sorted(parts):
+                    sizes, raw = unpack(parts[bucket], np.uint32, np.uint32)
                     own = order[at : at + len(sizes)]
                     lengths[own] = sizes
                     at += len(sizes)
@@ -131,9 +148,10 @@ def _assembled(batches: Iterator[pa.RecordBatch], tokenizer: str, ids_out: bool)
                         a += n
                         said[word] = ",".join(map(str, one)).encode()
                         decoded[word] = b"".join([table[i] for i in one])
-                parts = {}
+                if at != len(order):
+                    raise ValueError("the input's rows came in other blocks when read again; write it to a table first")
             else:
-                ends, places = unpack(row["data"], np.uint64, np.uint32)
+                ends, places = unpack(row["data"], np.uint32, np.uint32)
                 out, a = [], 0
                 for doc, b in zip(row["ids"], ends.tolist(), strict=True):
                     own = places[a:b]
@@ -160,14 +178,18 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     """Per row of docs: the key (a long), n_tokens, ids_sha256, decoded_sha256; with `ids` also token_ids and decoded.
 
     As tiktoken encodes the text without special tokens; null text counts as empty. Nothing is looked up by the key, so
-    that null and repeated keys do no harm. No other column of docs is read."""
+    that null and repeated keys do no harm. No other column of docs is read.
+
+    docs are read twice, once for the words and once for their positions, which costs less than keeping positions
+    beside their shuffle. Rows of an input that isn't a plain scan are written to a table first: it must give the same
+    partitions both times."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "bpe")
     held = pick(docs, id=key, text=text)
+    if "Exchange" in held._jdf.queryExecution().executedPlan().toString():
+        held = Scratch(spark, "bpe").table(held, "rows")
     # Buckets follow the input, so that the distinct words of one fit a worker's memory at any size.
     buckets = max(partitions(spark), 2 * held.rdd.getNumPartitions())
-    cut = scratch.table(held.mapInArrow(lambda b: _blocks(b, buckets), ROWS), "cut")
-    words = cut.filter("kind = 0").repartition(buckets, "part").sortWithinPartitions("part").mapInArrow(lambda b: _encoded(b, tokenizer), ROWS)
-    back = words.unionByName(cut.filter("kind > 0")).repartition("block").sortWithinPartitions("block", "kind", "part")
+    words = held.mapInArrow(lambda b: _blocks(b, buckets, False), ROWS).repartition(buckets, "part").sortWithinPartitions("part").mapInArrow(lambda b: _encoded(b, tokenizer), ROWS)
+    back = words.unionByName(held.mapInArrow(lambda b: _blocks(b, buckets, True), ROWS)).repartition("block").sortWithinPartitions("block", "kind", "part")
     out = "id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", token_ids array<int>, decoded binary" if ids else "")
     return back.mapInArrow(lambda b: _assembled(b, tokenizer, ids), out).withColumnRenamed("id", key)
