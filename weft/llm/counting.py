@@ -23,7 +23,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", limit: int
     whole = tokenizer.endswith(".model")  # no boundary is proven for sentencepiece: it sees whole texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = tokens.held(("counts", tokenizer), lambda: tokens.Memory(lambda pieces: [len(x) for x in tokens.encode(tokenizer, pieces)]))
+        memory = tokens.held(("counts", tokenizer), lambda: tokens.Memory(lambda pieces: [len(x) // 4 for x in tokens.encode_bytes(tokenizer, pieces)]))
         for batch in kernels.slices(batches, text):
             offsets, _ = kernels.utf8(batch.column(text))
             texts = [t or "" for t in batch.column(text).to_pylist()]

@@ -25,7 +25,7 @@ PIECES = "id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens b
 def _chunks(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int, size: int) -> Iterator[pa.RecordBatch]:
     """Documents as token ids, `size` tokens a row and a longer document alone."""
     last = np.uint32(end).tobytes()
-    memory = tokens.held(("ids", tokenizer), lambda: tokens.Memory(lambda pieces: [np.array(x, np.uint32).tobytes() for x in tokens.encode(tokenizer, pieces)]))
+    memory = tokens.held(("ids", tokenizer), lambda: tokens.Memory(lambda pieces: tokens.encode_bytes(tokenizer, pieces)))
     ids, sources, sizes, raw, total = [], [], [], [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:

@@ -9,12 +9,13 @@ from __future__ import annotations
 import base64
 import os
 import re
+from array import array
 from collections import ChainMap
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 #: Pieces that a worker remembers, and the longest piece that it does; beyond, the memory starts anew.
-MOST_PIECES, LONGEST = 400_000, 64
+MOST_PIECES, LONGEST = 800_000, 64
 
 _held: dict = {}
 _DOUBLE, _SINGLE = re.compile(r" \s|\s "), re.compile(r"(?<=\S) (?=\S)")
@@ -53,11 +54,94 @@ def library(path: str):
     return held(("library", path), make)
 
 
+#: Text of these characters alone can be pre-tokenized here: ASCII, and Latin letters that no normalisation changes.
+_PLAIN = re.compile(r"[\t\n\x0b\f\r -~À-ÖØ-öø-ÿ]*")
+#: The patterns that the two kinds of .json files split by, over these characters.
+_BYTE_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+", re.ASCII)
+_WORD_ENDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+", re.ASCII)
+_SAMPLES = ("hello world, it's 1234 o'clock!?", " Été à la plage: 12%\n\n  Über-groß; señor", "a\tb  c (x)... don't WE'RE", "...'s", " x")
+
+
+def _byte_characters() -> dict[int, str]:
+    """The printable character that byte-level models have for each byte: its own where it is printable Latin-1, else
+    the next free one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Words:
+    """Ids of short pieces of text by a .json tokenizer. Plain pieces are split here and go to the library's model word
+    by word, each distinct word once; all others, and all pieces of tokenizers of other forms, go to the library whole.
+    """
+
+    def __init__(self, path: str):
+        import json
+
+        with open(path) as f:
+            spec = json.load(f)
+        self.whole, self.words = library(path), {}
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        normalizer = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [spec["normalizer"]]) if n]
+        splitter = spec["pre_tokenizer"] or {}
+        kinds = [x["type"] for x in splitter.get("pretokenizers", [splitter])]
+        self.lower, self.pattern = "Lowercase" in normalizer, None
+        if not normalizer and kinds == ["ByteLevel"]:
+            self.pattern = _BYTE_LEVEL
+        elif normalizer == ["NFC", "Replace", "Lowercase"] and kinds == ["Split", "ByteLevel"]:
+            self.pattern = _WORD_ENDS
+        self.map = _byte_characters()
+        self.before = " " if self.pattern is _BYTE_LEVEL else ""  # what a word may begin with
+        # The short way holds only where it gives what the library does.
+        if self.pattern and any(array("I", self.plain(t)).tolist() != self.whole.encode(t, add_special_tokens=False).ids for t in _SAMPLES):
+            self.pattern = None
+
+    def word(self, word: str) -> bytes:
+        """The ids of a pre-token."""
+        ids = self.words.get(word)
+        if ids is None:
+            if len(self.words) >= MOST_PIECES // 2:
+                self.words.clear()
+            shown = word if word.isascii() and word.isalpha() else "".join([self.map[b] for b in word.encode()])
+            ids = self.words[word] = array("I", [t.id for t in self.whole.model.tokenize(shown)]).tobytes()
+        return ids
+
+    def plain(self, text: str) -> bytes:
+        text = text.lower() if self.lower else text
+        # Most pieces are a word, or a word and a mark.
+        if text.lstrip(self.before).isalpha() and len(text) < 1000 and text[1:2] != " ":
+            return self.word(text)
+        return b"".join([self.word(w) for w in self.pattern.findall(text)])
+
+    def __call__(self, pieces: list[str]) -> list[bytes]:
+        if self.pattern:
+            whole = "\n".join(pieces)
+            if _PLAIN.fullmatch(whole) and not any(s in whole for s in self.special):
+                return [self.plain(p) for p in pieces]
+        out: list = [None] * len(pieces)
+        rest = []
+        for i, p in enumerate(pieces):
+            if self.pattern and len(p) < 1000 and _PLAIN.fullmatch(p) and not any(s in p for s in self.special):
+                out[i] = self.plain(p)
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.whole.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False) if rest else [], strict=True):
+            out[i] = array("I", e.ids).tobytes()
+        return out
+
+
+def encode_bytes(path: str, pieces: list[str]) -> list[bytes]:
+    """Ids of each piece as 32-bit numbers."""
+    if path.endswith(".json"):
+        return held(("words", path), lambda: Words(path))(pieces)
+    return [array("I", ids).tobytes() for ids in encode(path, pieces)]
+
+
 def encode(path: str, pieces: list[str]) -> list[list[int]]:
     """Ids of each piece, as the library gives them by default, without begin, end or added special tokens."""
-    t = library(path)
     if path.endswith(".json"):
-        return [e.ids for e in t.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [array("I", x).tolist() for x in encode_bytes(path, pieces)]
+    t = library(path)
     if path.endswith(".model"):
         return t.encode(pieces, num_threads=1)
     return [t.encode_ordinary(p) for p in pieces]
@@ -122,7 +206,8 @@ class Memory:
         if not new:
             return self.known
         if len(self.known) + len(new) > MOST_PIECES:
-            self.known, new = {}, set(pieces)
+            # What the texts at hand use stays: common words are among it.
+            self.known = {p: self.known[p] for p in set(pieces) if p in self.known}
         new = list(new)
         values = dict(zip(new, self.of(new), strict=True))
         long = {p: v for p, v in values.items() if len(p) > LONGEST}
