@@ -7,7 +7,8 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import kernels
@@ -22,6 +23,10 @@ FREQUENT = 2e-4
 #: Frequent shingles are indexed by pairs where a prefix has so many of them at most (sets of up to 4 times as many
 #: shingles), and singly in larger sets, whose pairs would outnumber all else.
 COMBINED = 12
+#: Sets up to this size are compared whatever their common keys; it is beyond all sets that are indexed by pairs.
+SMALL = 80
+#: Leaders and neighbours with so many common keys are compared first: most of them link.
+LIKELY = 3
 _FLUSH = 4 << 20
 
 
@@ -97,7 +102,7 @@ def keys(tokens: np.ndarray, often: np.ndarray) -> np.ndarray:
             if n <= prefix:  # a set of one shingle has no pair
                 out.append(tail)
         else:
-            out.append(kernels.mix(order[rare:prefix] + np.uint64(2 * b + 1) * kernels.WEIGHTS[2]))
+            out.append(kernels.mix(order[rare:prefix] ^ kernels.mix(np.array([2 * b + 1], np.uint64))))
     return np.concatenate(out)
 
 
@@ -154,8 +159,9 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by key and size: pairs of classes under one key, of fitting sizes, in different components."""
     key, n, cls, comp = None, [], [], []
+    held: list[tuple] = []
 
-    def pairs() -> Iterator[pa.RecordBatch]:
+    def pairs() -> None:
         if len(set(comp)) < 2:
             return
         sizes, names, groups = np.array(n), np.array(cls), np.array(comp)
@@ -163,65 +169,96 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(len(sizes)):
             other = np.flatnonzero(groups[i + 1 : end[i]] != groups[i]) + i + 1
             if len(other):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(names[other], names[i])), pa.array(np.maximum(names[other], names[i]))], names=["a", "b"])
+                turn = names[other] < names[i]
+                held.append((np.where(turn, names[other], names[i]), np.where(turn, names[i], names[other]), np.where(turn, sizes[other], sizes[i]), np.where(turn, sizes[i], sizes[other])))
+
+    def out() -> pa.RecordBatch:
+        columns = [np.concatenate([h[k] for h in held]) for k in range(4)]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["a", "b", "na", "nb"])
 
     for batch in batches:
         for k, c, m, g in zip(*[batch.column(x).to_pylist() for x in ("key", "class", "n", "component")], strict=True):
             if k != key:
-                yield from pairs()
+                pairs()
+                if len(held) >= 5000:
+                    yield out()
                 key, n, cls, comp = k, [], [], []
             n.append(m)
             cls.append(c)
             comp.append(g)
-    yield from pairs()
+    pairs()
+    if held:
+        yield out()
+
+
+def possible(common: Column, na: Column, nb: Column) -> Column:
+    """Whether sets with so many common index keys can link.
+
+    All that they share before the end of the shorter-reaching prefix are common keys; the rest is behind it, so at
+    most ceil(0.75 n) - 1 more. Small sets, which may be indexed by pairs, are always possible."""
+    rest = lambda n: F.floor((NUM * n + DEN - 1) / DEN) - 1
+    needed = F.ceil(NUM * (na + nb) / F.lit(float(NUM + DEN)) - 1e-9)
+    return (F.least(na, nb) <= SMALL) | (common + F.greatest(rest(na), rest(nb)) >= needed)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of texts, kept where they are of the class that was asked for."""
+    """Texts, compressed, where their set is of the class that was asked for."""
+    z = zstandard.ZstdCompressor(level=3)
     for batch in kernels.slices(batches, "text"):
         sets = kernels.shingles(*kernels.utf8(batch.column("text")), SHINGLE)
-        own = [i for i, (s, c) in enumerate(zip(sets, batch.column("class").to_pylist(), strict=True)) if len(s) and name(s) == c]
-        yield pa.RecordBatch.from_arrays([batch.column("class").take(pa.array(own, pa.int64())), batch.column("text").take(pa.array(own, pa.int64())).cast(pa.string())], names=["class", "text"])
+        texts = batch.column("text")
+        own = [(c, z.compress(texts[i].as_py().encode())) for i, (s, c) in enumerate(zip(sets, batch.column("class").to_pylist(), strict=True)) if len(s) and name(s) == c]
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in own], pa.int64()), pa.array([t for _, t in own], pa.binary())], names=["class", "data"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by centre: first the centre's own text, then those to compare it with."""
-    centre, held = None, None
-    for batch in kernels.slices(batches, "text"):
-        sets = kernels.shingles(*kernels.utf8(batch.column("text")), SHINGLE)
-        a, b = [], []
-        for c, salt, other, s in zip(batch.column("a").to_pylist(), batch.column("salt").to_pylist(), batch.column("b").to_pylist(), sets, strict=True):
-            if other is None:
-                centre, held = (c, salt), s
-            elif centre == (c, salt):
-                both = np.concatenate((held, s))
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                if DEN * common >= NUM * (len(both) - common):
-                    a.append(c)
-                    b.append(other)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def _verify(pairs: DataFrame, texts: DataFrame, spark: SparkSession) -> DataFrame:
+    centre, held, z = None, None, zstandard.ZstdDecompressor()
+    for whole in batches:
+        for at in range(0, whole.num_rows, 300):
+            batch = whole.slice(at, 300)
+            raw = [z.decompress(x) for x in batch.column("data").to_pylist()]
+            sets = kernels.shingles(np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8), SHINGLE)
+            a, b = [], []
+            for c, salt, other, s in zip(batch.column("a").to_pylist(), batch.column("salt").to_pylist(), batch.column("b").to_pylist(), sets, strict=True):
+                if other is None:
+                    centre, held = (c, salt), s
+                elif centre == (c, salt):
+                    both = np.concatenate((held, s))
+                    both.sort()
+                    common = int(np.count_nonzero(both[1:] == both[:-1]))
+                    if DEN * common >= NUM * (len(both) - common):
+                        a.append(c)
+                        b.append(other)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _verify(pairs: DataFrame, held: DataFrame, ids: DataFrame, scratch: Scratch, step: str) -> DataFrame:
     """Pairs (a, b) that link. Each text travels once for each pair that it is the second of, and as a first once for
     each 512 pairs, so that a class with very many pairs is dealt out."""
+    asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct().join(ids, "class")
+    # A row that occurs again has its text here again, which only repeats a comparison.
+    texts = scratch.table(held.join(asked, "id").select("class", "text").mapInArrow(_texts, "class bigint, data binary"), f"texts-{step}")
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 512).cast("int").alias("parts"))
-    firsts = texts.join(parts, F.col("class") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b"), "text")
+    firsts = texts.join(parts, F.col("class") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b"), "data")
     salted = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), "b")
-    seconds = salted.join(texts, F.col("class") == F.col("b")).select("a", "salt", "b", "text")
+    seconds = salted.join(texts, F.col("class") == F.col("b")).select("a", "salt", "b", "data")
     both = firsts.unionByName(seconds).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-    return both.mapInArrow(_verified, "a bigint, b bigint")
+    links = scratch.table(both.mapInArrow(_verified, "a bigint, b bigint"), f"links-{step}")
+    scratch.drop(f"texts-{step}")
+    return links
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the key (a long), n_shingles and component_id, the least key that links reach from it.
 
-    Rows with equal sets are one class before anything is paired. Candidates under a common index key are first
-    verified along leaders and neighbours, which joins nearly all that belongs together; then all remaining candidate
-    pairs that are not yet in one component are verified. So every link of different sets is found or lies within a
-    component already, and no group emits all its pairs.
+    Rows with equal sets are one class before anything is paired. Candidates under common index keys are first
+    verified along leaders and neighbours, which joins nearly all that belongs together; then the remaining candidate
+    pairs of different components, whose common keys are counted, are verified where these are enough for a link. So
+    every link of different sets is found or lies within a component already, and no group emits all its pairs.
 
     Null or empty texts have no shingles and are components of their own; a null key is never the least, and its row
     has a null component_id if nothing else is reached. Rows that repeat a key keep their own components."""
@@ -230,23 +267,25 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     held = pick(docs, id=key, text=text)
     often = frequent(held, held.count())
     rows = held.mapInArrow(lambda b: _classes(b, often), "id bigint, n bigint, class bigint, keys binary")
-    rows = scratch.table(rows, "rows")
-    classes = rows.filter("n > 0").groupBy("class", "n").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("keys").alias("keys"))
+    keyed = scratch.table(rows, "keyed")
+    classes = keyed.filter("n > 0").groupBy("class", "n").agg(F.min("keys").alias("keys"))
     index = classes.select("class", "n", "keys").mapInArrow(_exploded, "key bigint, class bigint, n int")
     index = index.repartition("key").sortWithinPartitions("key", "n", "class")
     index = scratch.table(index.mapInArrow(_buckets, "key bigint, class bigint, n int, leader bigint, before bigint"), "index")
-    pair = lambda other: index.filter(F.col(other).isNotNull()).select(F.least("class", other).alias("a"), F.greatest("class", other).alias("b"))
-    near = scratch.table(pair("leader").unionByName(pair("before")).distinct(), "near")
+    rows = scratch.table(keyed.select("id", "n", "class"), "rows")
+    scratch.drop("keyed")
+    pair = lambda other: index.filter(F.col(other).isNotNull()).select(F.least("class", other).alias("a"), F.greatest("class", other).alias("b"), "n")
+    near = pair("leader").unionByName(pair("before")).groupBy("a", "b").agg(F.count("*").alias("c"), F.min("n").alias("n"))
+    near = scratch.table(near.filter((F.col("c") >= LIKELY) | (F.col("n") <= SMALL)).select("a", "b"), "near")
     ids = rows.filter("n > 0").groupBy("class").agg(F.min("id").alias("id"))
-    asked = index.select("class").distinct().join(ids, "class")
-    texts = scratch.table(held.join(asked, "id").select("class", "text").mapInArrow(_texts, "class bigint, text string").dropDuplicates(["class"]), "texts")
-    links = scratch.table(_verify(near, texts, spark), "links")
+    links = _verify(near, held, ids, scratch, "near")
     known = scratch.table(components(links, scratch, "first"), "known")
     placed = index.join(known, index["class"] == known["node"], "left").select("key", index["class"], "n", F.coalesce("component", index["class"]).alias("component"))
     several = placed.groupBy("key").agg((F.min("component") != F.max("component")).alias("several")).filter("several").select("key")
-    apart = placed.join(several, "key", "left_semi").repartition("key").sortWithinPartitions("key", "n", "class").mapInArrow(_across, "a bigint, b bigint").distinct()
+    apart = placed.join(several, "key", "left_semi").repartition("key").sortWithinPartitions("key", "n", "class").mapInArrow(_across, "a bigint, b bigint, na bigint, nb bigint")
+    apart = apart.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).filter(possible(F.col("c"), F.col("na"), F.col("nb"))).select("a", "b")
     apart = scratch.table(apart.join(near, ["a", "b"], "left_anti"), "apart")
-    more = scratch.table(_verify(apart, texts, spark), "more")
+    more = _verify(apart, held, ids, scratch, "apart")
     known = components(links.unionByName(more), scratch, "second")
     found = ids.join(known, F.col("class") == F.col("node"), "left").select("class", "id", F.coalesce("component", "class").alias("component"))
     least = found.groupBy("component").agg(F.min("id").alias("component_id"))
