@@ -3,6 +3,7 @@ columns, and on empty tables."""
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -83,6 +84,24 @@ def test_entropy_by_incremental_counts(s):
         assert {i for a, b in secrets.windows(s) for i in range(a, b)} == marked
 
 
+LOWER = "abcdefghijklmnopqrstuvwxyz"
+
+
+@pytest.mark.parametrize("alphabet,size,least", [
+    (LOWER + LOWER.upper(), 20, 0.9), (LOWER + LOWER.upper(), 32, 0.99), (LOWER + LOWER.upper() + "0123456789", 20, 0.92), (LOWER + LOWER.upper() + "0123456789+/", 20, 0.85),
+    (LOWER.upper() + "234567", 20, 0.6), ("0123456789abcdef", 20, 0.9), (LOWER, 32, 0.75),
+])
+def test_random_tokens_are_found_whatever_their_alphabet(alphabet, size, least):
+    r = random.Random(size)
+    found = [bool(secrets.spans(f"see {''.join(r.choice(alphabet) for _ in range(size))} here")[1]) for _ in range(500)]
+    assert sum(found) >= least * len(found)
+
+
+@pytest.mark.parametrize("text", ["createImportRelationships", "Geschwindigkeitsbegrenzung", "internationalization", "12345678901234567890", "20240102-20250304-12345678"])
+def test_words_and_numbers_are_no_secrets(text):
+    assert secrets.spans(f"the {text} here")[1] == []
+
+
 def test_secret_scan_and_redaction(docs, empty):
     found = by_id(secrets.scan(docs, redact="#"))
     for i, t, _ in cases.documents():

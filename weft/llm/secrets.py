@@ -29,8 +29,6 @@ CLASSES = (
     ("alnum", frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), 3.7),
     ("base64", frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"), 3.9),
 )
-#: A window also needs so many digits and letters: long words, numbers and rules of dashes have few of one kind.
-LEAST_DIGITS, LEAST_LETTERS = 3, 3
 #: Candidates that are public by their form.
 ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),  # UUID
@@ -38,6 +36,7 @@ ALLOW = (
     re.compile(r"(sha1|sha256|sha384|sha512|md5)[-=_].*"),  # checksums that name themselves
     re.compile(r"(.{1,6})\1{2,}.{0,5}"),  # one short piece again and again
     re.compile(r"[0-9-]{6,}T?[0-9-]*"),  # numbers and dates
+    re.compile(r"[A-Za-z][a-z]+([A-Z][a-z]{2,})+"),  # words joined by capitals
 )
 _N_LOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 _CLASS = np.zeros(256, dtype=bool)
@@ -47,15 +46,15 @@ _CLASS[[ord(c) for c in CLASSES[-1][1]]] = True
 def windows(s: str) -> list[tuple[int, int]]:
     """Maximal spans of s covered by windows with enough entropy for their character class.
 
-    Counts of the window's characters, digits, letters and class members change by one character in and one out."""
+    A window without letters is a number or a date, however long: public, as in ALLOW. Nothing but entropy judges the
+    others. Counts of the window's characters, letters and class members change by one character in and one out."""
     out: list[tuple[int, int]] = []
     count: dict[str, int] = {}
-    total, digits, letters, members = 0.0, 0, 0, [0] * len(CLASSES)
+    total, letters, members = 0.0, 0, [0] * len(CLASSES)
     for i, c in enumerate(s):
         n = count.get(c, 0)
         total += _N_LOG[n + 1] - _N_LOG[n]
         count[c] = n + 1
-        digits += c.isdigit()
         letters += c.isalpha()
         for k, (_, own, _) in enumerate(CLASSES):
             members[k] += c in own
@@ -64,11 +63,10 @@ def windows(s: str) -> list[tuple[int, int]]:
             n = count[old]
             total += _N_LOG[n - 1] - _N_LOG[n]
             count[old] = n - 1
-            digits -= old.isdigit()
             letters -= old.isalpha()
             for k, (_, own, _) in enumerate(CLASSES):
                 members[k] -= old in own
-        if i >= WINDOW - 1 and digits >= LEAST_DIGITS and letters >= LEAST_LETTERS:
+        if i >= WINDOW - 1 and letters:
             entropy = math.log2(WINDOW) - total / WINDOW
             least = next(least for m, (_, _, least) in zip(members, CLASSES, strict=True) if m == WINDOW)
             if entropy >= least:
