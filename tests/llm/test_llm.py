@@ -102,6 +102,25 @@ def test_words_and_numbers_are_no_secrets(text):
     assert secrets.spans(f"the {text} here")[1] == []
 
 
+KEY = "3fK9xQ2mVb7LpZ0tRw4YcN8s"
+
+
+@pytest.mark.parametrize("text", [
+    '{"url":"https://a.b","auth":"KEY"}', '{\\"url\\":\\"https://a.b\\",\\"auth\\":\\"KEY\\"}', "http://a.b\tKEY", "http://a.b/c,KEY", "http://a.b;KEY", "<a href=http://a.b>KEY</a>", "[x](http://a.b)KEY", "http://a.b\r\nKEY",
+    "https://user:KEY@a.org/x", "https://KEY@a.org/x", "https://a.org/x?sig=KEY", "https://a.org/x#KEY", "https://hooks.a.org/services/T0/KEY", "http://a.b'KEY'",
+])
+def test_secrets_beside_and_in_urls(text):
+    text = text.replace("KEY", KEY)
+    found = [(a, b) for a, k, b in secrets.spans(text)[1] if secrets.KINDS[k] == "entropy"]
+    at = text.index(KEY)
+    assert len(found) == 1 and found[0][0] <= at + 4 and found[0][1] >= at + len(KEY)
+
+
+@pytest.mark.parametrize("text", ["https://a.org/x/KEY?y=1", "(https://u@a.org/KEY)", "https://KEY/x", "https://a.org/" + "x.y/" * 90 + "z.KEY"])
+def test_hosts_and_paths_are_no_secrets(text):
+    assert secrets.spans(text.replace("KEY", KEY))[1] == []
+
+
 def test_secret_scan_and_redaction(docs, empty):
     found = by_id(secrets.scan(docs, redact="#"))
     for i, t, _ in cases.documents():

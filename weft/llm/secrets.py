@@ -38,6 +38,10 @@ ALLOW = (
     re.compile(r"[0-9-]{6,}T?[0-9-]*"),  # numbers and dates
     re.compile(r"[A-Za-z][a-z]+([A-Z][a-z]{2,})+"),  # words joined by capitals
 )
+#: A url after its scheme, up to white space, a quote, comma, semicolon, bracket, angle, bar or backslash; its host and path
+#: end at the query, the fragment or '&'. Paths that are credentials themselves name a hook.
+URL = re.compile(r"""://([^\s"'`“”‘’«»,;()\[\]{}<>|\\^]*)""")
+_AFTER_PATH, _AFTER_HOST, _HOOK = re.compile(r"[?#&]"), re.compile(r"[/?#&]"), re.compile(r"(?i)hook")
 _N_LOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 _CLASS = np.zeros(256, dtype=bool)
 _CLASS[[ord(c) for c in CLASSES[-1][1]]] = True
@@ -83,13 +87,34 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted((m.start(), k, m.end()) for k, (pattern, group, least) in enumerate(PATTERNS.values()) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least)
 
 
+def url_paths(text: str) -> list[tuple[int, int]]:
+    """Spans of hosts and paths of urls, in order; without user names and passwords, queries, fragments and paths of hooks."""
+    out = []
+    for m in URL.finditer(text):
+        url = m.group(1)
+        host_end = e.start() if (e := _AFTER_HOST.search(url)) else len(url)
+        a = url.rfind("@", 0, host_end) + 1
+        b = e.start() if (e := _AFTER_PATH.search(url, a)) else len(url)
+        if _HOOK.search(url, a, b):
+            b = host_end
+        out.append((m.start(1) + a, m.start(1) + b))
+    return out
+
+
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all spans: base ones and those of high entropy that touch no base span."""
+    """Base spans, and all spans: base ones and those of high entropy that touch no base span nor stand in the host or
+    path of a url."""
     base = base_spans(text)
     more = []
+    paths, k = None, 0
     for m in CANDIDATE.finditer(text):
         s = m.group()
-        if any(p.fullmatch(s) for p in ALLOW) or text[max(0, m.start() - 300) : m.start()].rpartition("\n")[2].rpartition(" ")[2].find("://") >= 0:
+        if any(p.fullmatch(s) for p in ALLOW):
+            continue
+        paths = url_paths(text) if paths is None else paths
+        while k < len(paths) and paths[k][1] < m.end():
+            k += 1
+        if k < len(paths) and paths[k][0] < m.end():  # the candidate ends in it; it may have begun with the '//'
             continue
         for a, b in windows(s):
             a, b = m.start() + a, m.start() + b
