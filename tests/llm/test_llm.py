@@ -186,6 +186,32 @@ def test_windows_keep_the_proportions():
     assert owed[2] == 100  # what 'a' got too much before counts against it
 
 
+@pytest.mark.parametrize("shares", [None, {"a": 0.5, "b": 0.25, "c": 0.25}])
+def test_sources_are_mixed_wherever_they_are_stored(spark, monkeypatch, shares):
+    monkeypatch.setattr(packing, "CHUNK", 4096)
+    rows = [(1000 * k + i, cases.prose(1000 * k + i, 40), s) for k, (s, n) in enumerate([("a", 160), ("b", 80), ("c", 40), (None, 40)]) for i in range(n)]
+    whose = {i: s for i, _, s in rows}
+    one = lambda s: spark.createDataFrame([r for r in rows if r[2] == s], "doc_id bigint, text string, source string").coalesce(1)
+    df = one("a").unionByName(one("b")).unionByName(one("c")).unionByName(one(None))
+    total, sizes, pieces = defaultdict(Counter), Counter(), defaultdict(list)
+    for r in packing.pack(df, WORD, window=512, shares=shares).collect():
+        total[r["sequence_id"]][whose[r["doc_id"]]] += r["length"]
+        sizes[whose[r["doc_id"]]] += r["length"]
+        pieces[r["doc_id"]].append((r["start"], r["length"], r["doc_tokens"]))
+    assert sorted(total) == list(range(len(total))) and len(total) > 40
+    for found in pieces.values():
+        at = 0
+        for start, n, whole in sorted(found):
+            assert start == at
+            at += n
+        assert at == whole
+    target = shares or {s: n / sizes.total() for s, n in sizes.items()}
+    until = min(sizes[s] / x for s, x in target.items()) // 512 - 2  # then a source runs dry
+    assert until > 10
+    for k in range(int(until)):
+        assert sum(total[k].values()) >= 512 - 8 and all(abs(total[k][s] - 512 * target.get(s, 0)) <= 8 for s in sizes)
+
+
 @pytest.mark.parametrize("hot", [repeats.HOT, 0])
 def test_repeats_are_removed_everywhere(spark, docs, hot):
     found = by_id(repeats.remove(docs, hot=hot))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import uuid
 import zlib
 from collections import deque
@@ -14,62 +15,140 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm import kernels, tokens
-from weft.llm.scratch import Scratch, pick
+from weft.llm.scratch import Scratch, partitions, pick
 
-#: Tokens in a chunk, about: what one task packs alone, given the deficits that it takes over.
+#: Tokens in a chunk, about: what one task packs alone; and what a worker holds of all sources before it writes them down.
 CHUNK = 1 << 20
-CHUNKS = "chunk string, ids array<bigint>, sources array<string>, sizes array<bigint>, data binary"
+PARTS = "part string, source string, size bigint, ids array<bigint>, sizes array<bigint>, data binary"
+SLICES = "chunk bigint, source string, at bigint, ids array<bigint>, starts array<bigint>, sizes array<bigint>, wholes array<bigint>, data binary"
 PIECES = "id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int, size: int) -> Iterator[pa.RecordBatch]:
-    """Documents as token ids, `size` tokens a row and a longer document alone."""
+def _batch(rows: list[tuple], names: str, kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names.split(" "))
+
+
+def _parts(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Documents as token ids, those of one source a row; rows are written whenever `size` tokens are held of all sources."""
     last = np.uint32(end).tobytes()
     memory = tokens.held(("ids", tokenizer), lambda: tokens.Memory(lambda pieces: tokens.encode_bytes(tokenizer, pieces)))
-    ids, sources, sizes, raw, total = [], [], [], [], 0
+    held: dict[str | None, tuple[list, list, list]] = {}
+    total = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        data = zstandard.ZstdCompressor(level=1).compress(_narrow(b"".join(raw)))
-        kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
-        row = [uuid.uuid4().hex, list(ids), list(sources), list(sizes), data]
-        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["chunk", "ids", "sources", "sizes", "data"])
-        for x in (ids, sources, sizes, raw):
-            x.clear()
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+        for source, (ids, sizes, raw) in held.items():
+            data = zstandard.ZstdCompressor(level=1).compress(_narrow(b"".join(raw)))
+            yield _batch([(uuid.uuid4().hex, source, sum(sizes), ids, sizes, data)], "part source size ids sizes data", kinds)
+        held.clear()
 
     for batch in kernels.slices(batches, "text"):
         cut = [tokens.split_spaces(t or "") for t in batch.column("text").to_pylist()]
         known = memory([p for pieces in cut for p in pieces])
         for key, source, pieces in zip(batch.column("id").to_pylist(), batch.column("source").to_pylist(), cut, strict=True):
             own = b"".join(map(known.__getitem__, pieces)) + last
+            ids, sizes, raw = held.setdefault(source, ([], [], []))
             ids.append(key)
-            sources.append(source)
             sizes.append(len(own) // 4)
             raw.append(own)
             total += sizes[-1]
             if total >= size:
                 yield from flush()
                 total = 0
-    if ids:
-        yield from flush()
+    yield from flush()
 
 
-def _narrow(raw: bytes) -> bytes:
+class Plan:
+    """How far each source's queue has been served before each chunk.
+
+    While sources last, they are served by their shares, those that are left by theirs among them; sources without a
+    share follow, by their sizes. So source s has given min(total, share * v) where v grows until all are dry."""
+
+    def __init__(self, totals: Mapping, shares: Mapping, window: int, chunk: int):
+        self.totals, self.shares = dict(totals), {s: float(shares.get(s, 0.0)) for s in totals}
+        listed = sorted((s for s in totals if self.shares[s] > 0), key=lambda s: totals[s] / self.shares[s])
+        # Corners (tokens served of all listed sources, v), where one of them runs dry.
+        self.corners, served, v, rate = [(0.0, 0.0)], 0.0, 0.0, sum(self.shares[s] for s in listed)
+        for s in listed:
+            dry = totals[s] / self.shares[s]
+            served, v, rate = served + max(rate, 0.0) * (dry - v), dry, rate - self.shares[s]
+            self.corners.append((served, v))
+        self.listed = sum(totals[s] for s in listed)
+        self.all = sum(totals.values())
+        # Each source's limit is a whole number, so that a chunk differs from its size by less than one token a source.
+        n = len(totals)
+        self.sequences = max(1, chunk // window, -(-4 * n // window))
+        self.size = max(1, self.sequences * window - n)
+        self.chunks = -(-self.all // self.size)
+
+    def given(self, source: str | None, chunk: int) -> float:
+        t, total, share = chunk * self.size, self.totals[source], self.shares[source]
+        if chunk >= self.chunks:
+            return total
+        if not share:
+            return min(total, total * max(t - self.listed, 0) / (self.all - self.listed))
+        k = bisect.bisect_right(self.corners, t, key=lambda c: c[0])
+        if k == len(self.corners):
+            return total
+        (x0, y0), (x1, y1) = self.corners[k - 1], self.corners[k]
+        return min(total, share * min(y1, y0 + (y1 - y0) / (x1 - x0) * (t - x0)))
+
+    def limit(self, source: str | None, chunk: int) -> int:
+        return int(self.given(source, chunk))
+
+    def cuts(self, source: str | None, start: int, end: int) -> Iterator[tuple[int, int, int]]:
+        """(chunk, start, end) of the parts of a source's queue between start and end."""
+        c = bisect.bisect_right(range(self.chunks + 1), start, key=lambda c: self.limit(source, c)) - 1
+        while start < end:
+            stop = min(end, self.limit(source, c + 1))
+            if stop > start:
+                yield c, start, stop
+                start = stop
+            c += 1
+
+
+def _slices(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+    """Parts cut where the plan's chunks end."""
+    lists = pa.list_(pa.int64())
+    kinds = [pa.int64(), pa.string(), pa.int64(), lists, lists, lists, lists, pa.binary()]
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            data, ids, sizes = _wide(row["data"]), np.array(row["ids"], dtype=object), np.array(row["sizes"], dtype=np.int64)
+            ends = np.cumsum(sizes)
+            begins, before = ends - sizes, row["before"]
+            for chunk, a, b in plan.cuts(row["source"], before, before + row["size"]):
+                x, y = a - before, b - before
+                i, j = int(np.searchsorted(ends, x, side="right")), int(np.searchsorted(begins, y, side="left"))
+                starts = np.maximum(x - begins[i:j], 0)
+                held = np.minimum(ends[i:j], y) - begins[i:j] - starts
+                yield _batch([(chunk, row["source"], a, ids[i:j].tolist(), starts.tolist(), held.tolist(), sizes[i:j].tolist(), _bytes(data[x:y]))], "chunk source at ids starts sizes wholes data", kinds)
+
+
+def _bytes(a: np.ndarray) -> bytes:
     """A byte that says the width, then the ids as 16 bits if they fit."""
-    a = np.frombuffer(raw, np.uint32)
-    return b"\x02" + a.astype(np.uint16).tobytes() if not len(a) or a.max() < 1 << 16 else b"\x04" + raw
+    return b"\x02" + a.astype(np.uint16).tobytes() if not len(a) or a.max() < 1 << 16 else b"\x04" + a.astype(np.uint32).tobytes()
 
 
-def _wide(data: bytes) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(data)
+def _narrow(raw: bytes) -> bytes:
+    return _bytes(np.frombuffer(raw, np.uint32))
+
+
+def _ids(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint16 if raw[0] == 2 else np.uint32, offset=1)
 
 
+def _wide(data: bytes) -> np.ndarray:
+    return _ids(zstandard.ZstdDecompressor().decompress(data))
+
+
 def deal(sources: list, sizes: list[int], shares: Mapping, owed: Mapping, window: int) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece, in order.
 
-    Each window gives every source its share of tokens besides what it is owed; a source serves its oldest documents,
-    up to what it has been given in whole tokens. What a dry queue can't serve stays owed. Room that is left goes to
-    the source that is owed most, as a debt; so only the last window of a chunk isn't full."""
+    Each window gives every source that is left its share among them besides what it is owed; a source serves its
+    oldest documents, up to what it has been given in whole tokens. Sources without a share wait for the others, then
+    go by their sizes. Room that is left goes to the source that is owed most, as a debt; so only the last window of a
+    chunk isn't full."""
     queues: dict = {}
     for i, s in enumerate(sources):
         if sizes[i]:
@@ -79,12 +158,17 @@ def deal(sources: list, sizes: list[int], shares: Mapping, owed: Mapping, window
         if sizes[i]:
             left[s] += sizes[i]
     begun = dict.fromkeys(range(len(sizes)), 0)
-    deficit = {s: float(min(max(owed.get(s, 0.0), -2.0 * window), 2.0 * window)) for s in sorted(queues, key=str)}
+    deficit = {s: float(owed.get(s, 0.0)) for s in sorted(queues, key=str)}
     sequence = 0
     while queues:
         room, offset = window, 0
+        deficit = {s: x for s, x in deficit.items() if s in queues}
+        weight = {s: shares.get(s, 0.0) for s in deficit}
+        if not any(weight.values()):
+            weight = {s: left[s] for s in deficit}
+        each = (window - sum(deficit.values())) / sum(weight.values())  # what is owed and given makes up the window
         for s in deficit:
-            deficit[s] += shares.get(s, 0.0) * window
+            deficit[s] += weight[s] * each
         while room and queues:
             # The first rounds give what is due; then, with nothing due, the room goes to whom most is owed.
             due = [s for s in queues if deficit[s] >= 1]
@@ -109,37 +193,45 @@ def deal(sources: list, sizes: list[int], shares: Mapping, owed: Mapping, window
         sequence += 1
 
 
-def _packed(batches: Iterator[pa.RecordBatch], shares: Mapping, window: int) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], plan: Plan, window: int) -> Iterator[pa.RecordBatch]:
+    """Slices, those of a chunk behind one another, to the chunks' pieces."""
+
+    def packed(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        chunk = rows[0]["chunk"]
+        flat = lambda name: [x for r in rows for x in r[name]]
+        keys, starts, sizes, wholes = flat("ids"), flat("starts"), flat("sizes"), flat("wholes")
+        ids, at = np.concatenate([_ids(r["data"]).astype("<u4") for r in rows]), np.concatenate(([0], np.cumsum(sizes)))
+        sources = [r["source"] for r in rows for _ in r["ids"]]
+        owed = {s: plan.given(s, chunk) - plan.limit(s, chunk) for s in set(sources)}
+        out = []
+        for i, start, n, sequence, offset in deal(sources, sizes, plan.shares, owed, window):
+            a = int(at[i]) + start
+            out.append((keys[i], starts[i] + start, n, zlib.crc32(ids[a : a + n].tobytes()), wholes[i], chunk * plan.sequences + sequence, offset))
+        for a in range(0, len(out), 50_000):
+            yield _batch(out[a : a + 50_000], "id start length ids_crc32 doc_tokens sequence_id offset", [pa.int64()] * 7)
+
+    rows: list[dict] = []
     for batch in batches:
         for k in range(batch.num_rows):
             row = batch.slice(k, 1).to_pylist()[0]
-            ids, at = _wide(row["data"]), np.concatenate(([0], np.cumsum(row["sizes"])))
-            owed = dict(zip(row["owed_sources"] or [], row["owed"] or [], strict=True))
-            out = []
-            for i, start, n, sequence, offset in deal(row["sources"], row["sizes"], shares, owed, window):
-                a = int(at[i]) + start
-                out.append((row["ids"][i], start, n, zlib.crc32(ids[a : a + n].astype("<u4").tobytes()), row["sizes"][i], (row["sequences"] or 0) + sequence, offset))
-            for a in range(0, len(out), 50_000):
-                columns = list(zip(*out[a : a + 50_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-
-def _owed(each: DataFrame, given: Mapping, window: int) -> DataFrame:
-    """Before each chunk: its first sequence, and each source's share of all tokens so far less its own.
-
-    Sums within 4096 groups of chunks, then over the groups, so that no task adds up all chunks."""
-    names = sorted(given, key=str)
-    this = lambda s: F.sum(F.when(F.col("source").eqNullSafe(F.lit(s)), F.col("n")).otherwise(0))
-    sums = each.groupBy("chunk").agg(F.sum("n").alias("all"), *[this(s).alias(f"n{i}") for i, s in enumerate(names)])
-    sums = sums.withColumns({"sequences": F.ceil(F.col("all") / window), "part": F.substring("chunk", 1, 3)})
-    columns = ["all", "sequences", *[f"n{i}" for i in range(len(names))]]
-    inside = Window.partitionBy("part").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # 4096 rows at most
-    before = sums.groupBy("part").agg(*[F.sum(c).alias(c) for c in columns]).select("part", *[F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"{c}_before") for c in columns])
-    run = sums.select("chunk", "part", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(c) for c in columns]).join(before, "part")
-    total = lambda c: F.col(c) + F.col(f"{c}_before")
-    owed = [(F.lit(float(given[s])) * total("all") - total(f"n{i}")).cast("double") for i, s in enumerate(names)]
-    return run.select("chunk", total("sequences").alias("sequences"), F.array(*[F.lit(s).cast("string") for s in names]).cast("array<string>").alias("owed_sources"), F.array(*owed).cast("array<double>").alias("owed"))
+            if rows and rows[0]["chunk"] != row["chunk"]:
+                yield from packed(rows)
+                rows = []
+            rows.append(row)
+    if rows:
+        yield from packed(rows)
+
+
+def _before(parts: DataFrame) -> DataFrame:
+    """The tokens of a part's source in the parts before it.
+
+    Sums within 4096 groups of a source's parts, then over the groups, so that no task adds up all parts."""
+    sums = parts.select("part", "source", "size", F.substring("part", 1, 3).alias("group"))
+    inside = Window.partitionBy("source", "group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy("source").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)  # 4096 rows a source at most
+    groups = sums.groupBy("source", "group").agg(F.sum("size").alias("n")).select(F.col("source").alias("of"), F.col("group").alias("at"), F.coalesce(F.sum("n").over(over), F.lit(0)).alias("n"))
+    run = sums.withColumn("own", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    return run.join(groups, run["source"].eqNullSafe(groups["of"]) & (run["group"] == groups["at"])).select("part", (F.col("own") + F.col("n")).alias("before"))
 
 
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", source: str = "source", window: int = 4096, end: int = 2, shares: Mapping[str, float] | None = None) -> DataFrame:
@@ -147,23 +239,25 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     offset.
 
     A document's ids are the tokenizer's, then `end`. `shares` are the target proportions of the sources (default:
-    their proportions of all tokens, so that no queue runs dry before the others). Tokens of chunks before count
-    against the shares: each chunk starts with what the sources are owed, so a chunk is packed without waiting for
-    another. Every id lies in one piece; each chunk leaves one sequence that isn't full.
+    their proportions of all tokens, so that no queue runs dry before the others), which hold wherever a source's rows
+    are stored: all sources' queues are cut into chunks by prefix sums of their tokens, so that each chunk has what the
+    shares give it and is packed without waiting for another. Sources that run dry leave their share to the others;
+    sources that `shares` lacks come last. Every id lies in one piece; each chunk leaves one sequence that isn't full.
+    Sequence numbers have no gaps as long as sources are fewer than half a window's tokens.
 
     Null texts are empty documents (one token); a null source is a source of its own; keys aren't looked up, so that
     null and repeated ones do no harm; other columns aren't read."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     held = pick(docs, id=key, text=text, source=source)
-    chunks = scratch.table(held.mapInArrow(lambda b: _chunks(b, tokenizer, end, CHUNK), CHUNKS), "chunks")
-    each = chunks.select("chunk", F.explode(F.arrays_zip("sources", "sizes")).alias("x")).groupBy("chunk", F.col("x.sources").alias("source")).agg(F.sum("x.sizes").alias("n"))
-    each = scratch.table(each, "tokens")
-    totals = {r["source"]: r["n"] for r in each.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # one row a source
+    parts = scratch.table(held.mapInArrow(lambda b: _parts(b, tokenizer, end, CHUNK), PARTS), "parts")
+    totals = {r["source"]: r["n"] for r in parts.groupBy("source").agg(F.sum("size").alias("n")).collect()}  # one row a source
     whole = sum(totals.values()) or 1
     given = dict(shares) if shares is not None else {s: n / whole for s, n in totals.items()}
     scale = sum(given.values()) or 1.0
-    given = {s: x / scale for s, x in given.items()}
-    owed = scratch.table(_owed(each, given, window), "owed")
-    pieces = chunks.join(owed, "chunk", "left").mapInArrow(lambda b: _packed(b, given, window), PIECES)
+    plan = Plan(totals, {s: x / scale for s, x in given.items()}, window, CHUNK)
+    before = scratch.table(_before(parts), "before")
+    slices = parts.join(before, "part").mapInArrow(lambda b: _slices(b, plan), SLICES)
+    dealt = slices.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "at")
+    pieces = dealt.mapInArrow(lambda b: _packed(b, plan, window), PIECES)
     return pieces.withColumnRenamed("id", key)
