@@ -111,3 +111,8 @@ def test_entry_module(spark):
     queries, sql = entry.queries(), entry.oracle_sql()
     assert len(queries) >= 55 and set(sql) <= set(queries)
     assert entry.entry(spark).columns == ["path", "language", "depth"]
+
+
+def test_answers_have_all_rows(spark):
+    rows = json.loads(snapshots.as_json(spark.range(2500, numPartitions=7)))
+    assert rows == [{"id": i} for i in range(2500)]

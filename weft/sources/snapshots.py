@@ -129,7 +129,8 @@ def json_rows(df: DataFrame) -> list[dict]:
     return [json.loads(r["j"]) for r in df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("j")).collect()]
 
 
-def as_json(df: DataFrame, most: int = 1000) -> str:
-    """A result as text: pretty JSON of at most `most` rows, or a line that there is none."""
-    rows = json_rows(df.limit(most))
+def as_json(df: DataFrame) -> str:
+    """A result as text: pretty JSON of all its rows, fetched partition by partition, or a line that there is none."""
+    found = df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("j"))
+    rows = [json.loads(r["j"]) for r in found.toLocalIterator()]
     return json.dumps(rows, indent=2, ensure_ascii=False) if rows else "No results found."
