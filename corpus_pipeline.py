@@ -23,7 +23,7 @@ def _documents(found: DataFrame, changed: bool = False) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the policy keeps."""
-    return _documents(quality.ledger(docs).filter(quality.kept("web-1")))
+    return _documents(quality.ledger(docs).filter(quality.kept("web-2")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,6 +56,18 @@ def test_quality_policies_and_ablations(docs):
         assert (r["n_failed"], r["n_only_this"]) == (sum(bool(b & one) for b in bits), sum(b == one for b in bits))
 
 
+def test_quality_keeps_documents_of_every_script(spark):
+    clean = {
+        "ar": "كانت المدينة القديمة تقع على ضفة النهر", "he": "העיר העתיקה שכנה על גדת הנהר הרחב", "hi": "पुराना शहर नदी के किनारे पर बसा था", "ko": "오래된 도시는 강가에 자리 잡고 있었다",
+        "zh": "这座古老的城市坐落在宽阔的河边，许多商人每天从远方来到这里。", "ja": "古い町は川のほとりにあり、遠くから多くの商人が毎日やって来た。", "th": "เมืองเก่าตั้งอยู่ริมแม่น้ำกว้างและมีพ่อค้ามาจากแดนไกลทุกวัน", "en": "the old town lay on the bank of a river",
+    }
+    rows = [(k, " ".join(f"{w}{i}" if k in ("ar", "he", "hi", "ko", "en") else w for i in range(4) for w in t.split(" "))) for k, t in clean.items()]
+    rows += [("digits", " ".join(str(1000 + i) for i in range(40))), ("long", " ".join("x" * (22 + i) for i in range(30))), ("short", "古い町"), ("marks", clean["zh"] + "#$%" * 9)]
+    found = spark.createDataFrame(rows, "doc_id string, text string")
+    kept = {r["doc_id"]: r["kept"] for r in quality.ledger(found).select("doc_id", quality.kept().alias("kept")).collect()}
+    assert kept == {k: k in clean for k, _ in rows}
+
+
 def test_quality_plan_is_native(docs):
     plan = quality.ledger(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

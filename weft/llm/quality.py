@@ -17,6 +17,8 @@ from weft.llm.scratch import let
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+#: Letters of scripts whose words aren't parted by spaces.
+UNSPACED = "[" + "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan")) + "]"
 
 #: Bits of the ledger, by name. Bits never change their meaning; new rules take new bits.
 RULES = {
@@ -29,6 +31,14 @@ RULES = {
     "no_letters": (6, lambda c: 10 * c["n_letter_words"] < 6 * c["n_words"]),
     "capitals": (7, lambda c: 10 * c["n_capitals"] > 4 * c["word_chars"]),
 }
+#: Rules in a form for every script, under the same bits of `failed_any_script`: a letter of an unspaced script counts as
+#: a word, the length of words is judged where spaces part them, and letters need no case.
+ANY_SCRIPT = RULES | {
+    "few_words": (0, lambda c: c["n_units"] < 20),
+    "symbols": (2, lambda c: 10 * c["n_symbols"] > 3 * c["n_units"]),
+    "long_words": (5, lambda c: c["spaced_chars"] > 20 * c["n_spaced_words"]),
+    "no_letters": (6, lambda c: 10 * c["n_any_letter_words"] < 6 * c["n_words"]),
+}
 BASE_RULES = ("few_words", "repeated_words")
 
 
@@ -40,7 +50,10 @@ def mask(*names: str) -> int:
 POLICIES: Mapping[str, int] = {
     "base-1": mask(*BASE_RULES),
     "web-1": mask(*RULES),
+    "web-2": mask(*RULES),
 }
+#: The ledger's column that a policy's mask is for.
+LEDGERS = {"base-1": "failed_bits", "web-1": "failed_bits", "web-2": "failed_any_script"}
 
 
 def _repeated_words(words: Column) -> Column:
@@ -76,7 +89,7 @@ def _repeated_words(words: Column) -> Column:
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with measurements (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_letter_words,
-    n_capitals) and `failed_bits`. Null text counts as empty; every row, repeated ones too, is measured alone; columns
+    n_capitals, n_spaced_words, spaced_chars, n_units, n_any_letter_words), `failed_bits` and `failed_any_script`. Null text counts as empty; every row, repeated ones too, is measured alone; columns
     of docs with these names are replaced."""
     blank = f"[{SPACES}]"
     own = F.coalesce(docs[text], F.lit(""))
@@ -94,16 +107,29 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_capitals": (F.length("__text") - F.length(F.translate("__text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long"),
         }
     )
-    bits = None
-    for bit, rule in RULES.values():
-        one = F.when(rule(measured), F.lit(1 << bit)).otherwise(F.lit(0)).cast("long")
-        bits = one if bits is None else bits.bitwiseOR(one)
-    return measured.withColumn("failed_bits", bits).drop("__text", "__words", "__lines")
+    # Only texts with such letters, or without case, are looked at once more.
+    unspaced = F.col("__text").rlike(UNSPACED)
+    spaced = F.filter("__words", lambda w: ~w.rlike(UNSPACED))
+    measured = measured.withColumns(
+        {
+            "n_spaced_words": F.when(unspaced, F.size(spaced).cast("long")).otherwise(F.col("n_words")),
+            "spaced_chars": F.when(unspaced, F.length(F.array_join(spaced, "")).cast("long")).otherwise(F.col("word_chars")),
+            "n_units": F.when(unspaced, (F.size(spaced) + F.regexp_count("__text", F.lit(UNSPACED))).cast("long")).otherwise(F.col("n_words")),
+            "n_any_letter_words": F.when(RULES["no_letters"][1](measured), F.size(F.filter("__words", lambda w: w.rlike(r"\p{L}"))).cast("long")).otherwise(F.col("n_letter_words")),
+        }
+    )
+    for name, rules in (("failed_bits", RULES), ("failed_any_script", ANY_SCRIPT)):
+        bits = None
+        for bit, rule in rules.values():
+            one = F.when(rule(measured), F.lit(1 << bit)).otherwise(F.lit(0)).cast("long")
+            bits = one if bits is None else bits.bitwiseOR(one)
+        measured = measured.withColumn(name, bits)
+    return measured.drop("__text", "__words", "__lines")
 
 
-def kept(policy: str = "web-1", bits: str = "failed_bits") -> Column:
+def kept(policy: str = "web-2") -> Column:
     """Whether a row of the ledger passes a policy."""
-    return F.col(bits).bitwiseAND(F.lit(POLICIES[policy]).cast("long")) == 0
+    return F.col(LEDGERS[policy]).bitwiseAND(F.lit(POLICIES[policy]).cast("long")) == 0
 
 
 def ablations(entries: DataFrame, policy: str = "web-1") -> DataFrame:
@@ -111,7 +137,7 @@ def ablations(entries: DataFrame, policy: str = "web-1") -> DataFrame:
 
     One pass: equal bitmasks are counted first, so what is left has at most 2**rules rows."""
     held = F.lit(POLICIES[policy]).cast("long")
-    counted = entries.groupBy(F.col("failed_bits").bitwiseAND(held).alias("bits")).agg(F.count("*").alias("n"))
+    counted = entries.groupBy(F.col(LEDGERS[policy]).bitwiseAND(held).alias("bits")).agg(F.count("*").alias("n"))
     rules = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(1 << bit).cast("long").alias("bit")) for name, (bit, _) in RULES.items() if POLICIES[policy] >> bit & 1])
     each = counted.select("bits", "n", F.explode(rules).alias("r"))
     hit = F.col("bits").bitwiseAND(F.col("r.bit")) != 0

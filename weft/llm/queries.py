@@ -22,7 +22,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.ledger(_documents(spark, sf_dir).select("doc_id", "text"))
     base = F.col("failed_bits").bitwiseAND(F.lit(quality.POLICIES["base-1"]).cast("long")) != 0
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality.kept("web-1").alias("kept"), "failed_bits")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality.kept("web-2").alias("kept"), "failed_bits")
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
