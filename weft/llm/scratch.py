@@ -27,15 +27,17 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{folder(spark)}/weft/{name}-{uuid.uuid4().hex}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, release: bool = False) -> DataFrame:
+        """df, written and reread. With `release`, where large shuffles are behind it, their files go: Spark deletes them
+        when the driver collects its garbage, which may be long after."""
         path, schema = f"{self.root}/{name}", df.schema
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        # The shuffles behind a written table are garbage; Spark deletes their files when the driver collects its own.
-        del df
-        for pause in (0.2, 0):  # what the listeners still hold goes with the second
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(pause)
+        if release:
+            del df
+            for pause in (0.2, 0):  # what the listeners still hold goes with the second
+                gc.collect()
+                self.spark._jvm.System.gc()
+                time.sleep(pause)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -45,6 +47,22 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Nodes of plans that give the same rows in the same partitions and order whenever they run.
+_PLAIN = ("Scan parquet", "ColumnarToRow", "Project", "Filter", "WholeStageCodegen", "InputAdapter")
+
+
+def stable(df: DataFrame, scratch: Scratch, name: str = "rows") -> DataFrame:
+    """df, if it is a plain scan of Parquet, which gives the same partitions whenever it is read; else as a table."""
+
+    def plain(node) -> bool:
+        if not node.nodeName().startswith(_PLAIN):
+            return False
+        expressions, below = node.expressions(), node.children()
+        return all(expressions.apply(i).deterministic() for i in range(expressions.size())) and all(plain(below.apply(i)) for i in range(below.size()))
+
+    return df if plain(df._jdf.queryExecution().sparkPlan()) else scratch.table(df, name)
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under our own names, so that extra or clashing columns don't matter."""
     return df.select(*[df[source].alias(name) for name, source in columns.items()])
