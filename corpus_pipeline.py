@@ -22,31 +22,33 @@ def _documents(found: DataFrame, changed: bool = False) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the policy keeps."""
-    return _documents(quality.ledger(docs).filter(quality.kept("web-2")))
+    """Documents that the policy keeps. The ledger is written first, so that a filter on it evaluates no rule again.
+
+    Null and empty texts have no words, which fails a rule; repeated rows are judged alike; extra columns go."""
+    entries = Scratch(spark, "ledger").table(quality.ledger(docs.select(*COLUMNS)), "ledger")
+    return _documents(entries.filter(quality.kept("web-2")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents that with the least id, once; documents without an id stay."""
-    found = jaccard.groups(docs)
-    others = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(others, "doc_id", "left_anti")
-    numbered = left.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"])
-    return _documents(numbered.unionByName(left.filter(F.col("doc_id").isNull())))
+    """Of each group of linked documents that with the least id, once. What goes is decided by row: a document whose id
+    repeats with another, unlinked text stays. Null ids come last in their group; documents without words all stay."""
+    return _documents(jaccard.deduplicated(docs.select(*COLUMNS)))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their passages that occur again; nothing may be left of some."""
+    """All documents, without their passages that occur again; nothing may be left of some. Null texts stay null; every
+    row is a document, also where ids or whole rows repeat."""
     return _documents(repeats.remove(docs), changed=True)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced."""
+    """All documents, with secrets replaced; null and empty texts stay as they are, repeated rows change alike."""
     return _documents(secrets.scan(docs, redact=REDACTED), changed=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of tokens."""
+    """Pieces of all documents in sequences of tokens; null texts are empty documents of one token, repeated rows are
+    packed each."""
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 
