@@ -12,10 +12,11 @@ import re
 from array import array
 from collections import ChainMap
 from collections.abc import Callable, Iterator
-from itertools import accumulate
+
+import numpy as np
 
 #: Pieces that a worker remembers, and the longest piece that it does; beyond, the memory starts anew.
-MOST_PIECES, LONGEST = 800_000, 64
+MOST_PIECES, LONGEST = 400_000, 64
 
 _held: dict = {}
 _DOUBLE, _SINGLE = re.compile(r" \s|\s "), re.compile(r"(?<=\S) (?=\S)")
@@ -166,32 +167,115 @@ def split_spaces(text: str) -> list[str]:
     return [p for p in text.replace("\n", " ").split(" ") if p]
 
 
-def resynchronised(text: str, chunk: int = 1 << 16, overlap: int = 1 << 10, cut: Callable[[str], list[str]] = split_words) -> Iterator[list[str]]:
-    """The pieces of a huge text, from overlapping chunks of it.
-
-    Each chunk and the beginning of the next, which overlaps it, are cut alone, with offsets. They are spliced at the
-    last boundary that both have inside the overlap, off its ends, so that neither took it from where its text was
-    torn. Without one the overlap widens, at last beyond the chunk. Only cuts that keep all characters can be spliced."""
-    start = 0
-    while len(text) - start > chunk:
-        end, wide = start + chunk, overlap
-        while True:
-            left, right = cut(text[start:end]), cut(text[end - wide : end + wide])
-            ends = list(accumulate(map(len, left), initial=start))
-            common = set(ends[1:-1]) & set(list(accumulate(map(len, right), initial=end - wide))[1:-1])
-            if common:
-                at = max(common)
-                yield left[: ends.index(at)]
-                start = at
+#: Characters that must lie between a common boundary and the ends of what was encoded, besides special strings.
+MARGIN = 8
+
+
+class Encoded:
+    """A chunk's encoding: its number of tokens, and where its pre-tokens begin, as offsets in the whole text with the
+    tokens before them."""
+
+    def __init__(self, start: int, end: int, total: int, starts: np.ndarray, before: np.ndarray):
+        self.start, self.end, self.total, self.starts, self.before = start, end, total, starts, before
+
+    def at(self, place: int) -> int:
+        """The tokens before a boundary; 0 before the chunk's start."""
+        return int(self.before[np.searchsorted(self.starts, place)]) if place > self.start else 0
+
+
+class Encoder:
+    """Encodings of chunks by a library, with offsets.
+
+    A boundary is proven where a pre-token begins in both of two overlapping chunks, more than `margin` characters from
+    the one's end and the other's start. Pre-tokens are found from left to right, each from where it begins and with a
+    look-ahead that is shorter than the margin (or runs to the end of white space, which is then no boundary). So the
+    left chunk has the whole text's pre-tokens up to there, and the right one has them from there on. Special strings
+    that cross the place would be seen whole by both. Merges stay inside pre-tokens.
+
+    A .json file's pieces between single spaces are encoded once and remembered, and begin with a pre-token each; of
+    pieces without such spaces the library itself says where pre-tokens begin. A .model file is taken whole, if no piece
+    of its vocabulary goes on with white space behind anything else: then a piece that begins with white space is a
+    boundary. Other .model files have none."""
+
+    def __init__(self, path: str):
+        self.path, self.library, self.margin = path, library(path), MARGIN
+        if path.endswith(".model"):
+            names = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
+            self.proven = not any(re.search("[^\u2581]\u2581", n) for n in names)
+        else:
+            self.memory = held(("counts", path), lambda: Memory(lambda pieces: [len(x) // 4 for x in encode_bytes(path, pieces)]))
+            if path.endswith(".json"):
+                self.margin += max([len(t.content) for t in self.library.get_added_tokens_decoder().values()], default=0)
+
+    def count(self, texts: list[str]) -> list[int]:
+        """Tokens of texts that need no chunks."""
+        if self.path.endswith(".model"):
+            return [len(x) for x in encode(self.path, texts)]
+        cut = [split_words(t) for t in texts]
+        known = self.memory([p for pieces in cut for p in pieces])
+        return [sum(map(known.__getitem__, pieces)) for pieces in cut]
+
+    def __call__(self, text: str, start: int, end: int) -> Encoded:
+        own = text[start:end]
+        if self.path.endswith(".model"):
+            pieces = self.library.encode(own, return_type="proto").pieces
+            # Offsets are of bytes.
+            raw = np.frombuffer(own.encode(), np.uint8)
+            place = np.concatenate(([0], np.cumsum(raw & 0xC0 != 0x80)))
+            first = [(int(place[p.begin]), i) for i, p in enumerate(pieces) if self.proven and p.piece.startswith("\u2581")]
+            first = [(p, i) for p, i in first if own[p : p + 1] == " " and own[p - 1 : p].strip()]
+            return Encoded(start, end, len(pieces), np.array([start + p for p, _ in first], np.int64), np.array([i for _, i in first], np.int64))
+        pieces = split_words(own)
+        known = self.memory(pieces)
+        n = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        ends, before = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))), np.cumsum(n)
+        starts, earlier = [start + ends - np.fromiter(map(len, pieces), np.int64, len(pieces))], [before - n]
+        if self.path.endswith(".json"):
+            for k in np.flatnonzero(np.diff(ends, prepend=0) > LONGEST).tolist():
+                e = self.library.encode(pieces[k], add_special_tokens=False)
+                words = e.word_ids
+                inner = [i for i in range(1, len(words)) if words[i] is not None and words[i] != words[i - 1]]
+                # Offsets leave out the white space that a pre-token begins with, if the library trims it.
+                places = [e.offsets[i - 1][1] for i in inner]
+                some = [(p, i) for p, i in zip(places, inner, strict=True) if e.offsets[i][0] == p]
+                base = int(starts[0][k])
+                starts.append(np.array([base + p for p, _ in some], np.int64))
+                earlier.append(np.array([int(earlier[0][k]) + i for _, i in some], np.int64))
+        at, tokens = np.concatenate(starts), np.concatenate(earlier)
+        order = np.argsort(at, kind="stable")
+        return Encoded(start, end, int(before[-1]) if len(before) else 0, at[order], tokens[order])
+
+
+def resynchronised(text: str, encoder: Callable[[str, int, int], Encoded], chunk: int, overlap: int, margin: int, spliced: list | None = None) -> int:
+    """The tokens of a huge text, from the encodings of overlapping chunks.
+
+    Each chunk begins `overlap` before the end of the one before. The two are spliced at the last boundary that is
+    proven by both: tokens before it are the left chunk's, those behind it the right one's. Where they have none in
+    common the overlap widens, at last by encoding a longer left chunk. `spliced` gets the places."""
+    left, total, at = encoder(text, 0, min(chunk, len(text))), 0, 0
+    while left.end < len(text):
+        wide, right = overlap, None
+        while right is None:
+            begin = max(at, left.end - wide)
+            found = encoder(text, begin, min(len(text), begin + max(chunk, 2 * wide)))
+            common = np.intersect1d(left.starts, found.starts)
+            common = common[(common > at) & (common >= begin + margin) & (common <= left.end - margin)]
+            if len(common):
+                right = found
+            elif begin > at:
+                wide *= 2
+            else:
                 break
-            if end >= len(text):
-                yield left
-                return
-            wide *= 2
-            if wide > end - start:
-                end, wide = min(len(text), end + (end - start)), min(wide, end - start)
-    if start < len(text):
-        yield cut(text[start:])
+        if right is None:
+            # Nothing in the whole chunk: it goes on.
+            left = encoder(text, left.start, min(len(text), left.end + max(chunk, left.end - left.start)))
+            continue
+        place = int(common[-1])
+        total += left.at(place) - left.at(at)
+        left, at = right, place
+        if spliced is not None:
+            spliced.append(place)
+    return total + left.total - left.at(at)
 
 
 class Memory:
