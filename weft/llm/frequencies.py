@@ -20,7 +20,7 @@ from weft.llm.scratch import partitions
 
 #: Tokens in a block, about: what one Python worker holds. Larger workers may take larger blocks, which make fewer rows
 #: (blocks x ranges): at 64 M tokens a block and range, 100 TB make rows of about 200 tokens.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 ROWS = "block string, kind int, part int, data binary"
 
 
@@ -58,7 +58,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, sets: Callable, size: i
             digest.update(len(s).to_bytes(8, "little") + s.tobytes())
         return digest.hexdigest()
 
-    for batch in kernels.slices(batches, text):
+    for batch in kernels.slices(batches, text, 1 << 19):
         found = sets(*kernels.utf8(batch.column(text)))
         held.append(batch)
         own.extend(found)
