@@ -2,7 +2,10 @@
 
 Blocks of documents become distinct words and positions. The words of all blocks meet in buckets by their hash, where
 each distinct one is encoded once; its ids go back to the blocks, which put them at their positions. For decoding, ids
-are looked up in the token-byte table, which the vocabulary bounds.
+are joined with the token-byte table, a hash table in each worker, which the vocabulary bounds.
+
+A word here is a piece of text between single spaces, with the space before it. It holds whole matches of the pattern,
+and no match crosses its ends (see tokens.split_words), so that each match is encoded separately, and once a bucket.
 
 What is shuffled are packed lists, one row for each block and bucket: a word that is everywhere has one entry in each
 block, and blocks are of bounded size, so no key gathers more than others.
@@ -22,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import kernels, tokens
-from weft.llm.scratch import Scratch, partitions, pick
+from weft.llm.scratch import Scratch, partitions, pick, stable
 
-#: Characters of text in a block, about.
-BLOCK = 24 << 20
+#: Characters of text in a block, about; and buckets at most, so that rows (blocks x buckets) grow with the input alone.
+#: What a bucket remembers of its words is bounded as well: beyond, a word is encoded again.
+BLOCK, BUCKETS = 24 << 20, 4096
 ROWS = "block string, kind int, part int, ids array<bigint>, data binary"
 
 
@@ -114,6 +118,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.R
             ends = np.cumsum(sizes).tolist()
             words = [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             new = [w for w in words if w not in known]
+            if len(known) + len(new) > tokens.MOST_PIECES:
+                known = {w: known[w] for w in words if w in known}
             for w, ids in zip(new, tokens.encode(tokenizer, [w.decode() for w in new]), strict=True):
                 known[w] = np.array(ids, np.uint32).tobytes()
             ids = [known[w] for w in words]
@@ -149,7 +155,7 @@ def _assembled(batches: Iterator[pa.RecordBatch], tokenizer: str, ids_out: bool)
                         said[word] = ",".join(map(str, one)).encode()
                         decoded[word] = b"".join([table[i] for i in one])
                 if at != len(order):
-                    raise ValueError("the input's rows came in other blocks when read again; write it to a table first")
+                    raise ValueError("the input's rows came in other blocks when read again")
             else:
                 ends, places = unpack(row["data"], np.uint32, np.uint32)
                 out, a = [], 0
@@ -181,14 +187,11 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     that null and repeated keys do no harm. No other column of docs is read.
 
     docs are read twice, once for the words and once for their positions, which costs less than keeping positions
-    beside their shuffle. Rows of an input that isn't a plain scan are written to a table first: it must give the same
-    partitions both times."""
+    beside their shuffle. Whatever isn't a plain scan of Parquet is written to a table first, since it must give the
+    same rows both times. An empty table gives no rows."""
     spark = docs.sparkSession
-    held = pick(docs, id=key, text=text)
-    if "Exchange" in held._jdf.queryExecution().executedPlan().toString():
-        held = Scratch(spark, "bpe").table(held, "rows")
-    # Buckets follow the input, so that the distinct words of one fit a worker's memory at any size.
-    buckets = max(partitions(spark), 2 * held.rdd.getNumPartitions())
+    held = stable(pick(docs, id=key, text=text), Scratch(spark, "bpe"))
+    buckets = max(partitions(spark), min(BUCKETS, 2 * held.rdd.getNumPartitions()))
     words = held.mapInArrow(lambda b: _blocks(b, buckets, False), ROWS).repartition(buckets, "part").sortWithinPartitions("part").mapInArrow(lambda b: _encoded(b, tokenizer), ROWS)
     back = words.unionByName(held.mapInArrow(lambda b: _blocks(b, buckets, True), ROWS)).repartition("block").sortWithinPartitions("block", "kind", "part")
     out = "id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", token_ids array<int>, decoded binary" if ids else "")

@@ -19,6 +19,8 @@ LEAST, MOST = 1e-3, 0.2
 #: Independent nestings of subsets, and their depth: subset (f, j) keeps 2**-j of the lexicon. Of each nesting a text
 #: is signed by the subsets that keep about four of its terms or fewer; larger ones would differ at any edit.
 FAMILIES, DEPTH = 12, 20
+#: Bytes of a signature: no two different ones of any corpus are taken for equal.
+SIGNATURE = 16
 _SEEDS = np.array([0xC2B2AE3D27D4EB4F * (2 * f + 1) & (1 << 64) - 1 for f in range(FAMILIES)], dtype=np.uint64)
 _FLUSH = 2 << 20
 
@@ -89,7 +91,7 @@ class Signer:
 
 def sign(terms: np.ndarray) -> dict[str, str]:
     """Signatures by the name of the subset; terms are sorted and distinct. 'n' has their number, '' is of all."""
-    one = lambda x: hashlib.blake2b(x.tobytes(), digest_size=4).hexdigest()
+    one = lambda x: hashlib.blake2b(x.tobytes(), digest_size=SIGNATURE).hexdigest()
     out = {"n": str(len(terms))}
     if not len(terms):
         return out
@@ -139,9 +141,8 @@ def fingerprint(docs: DataFrame, text: str = "text", terms: np.ndarray | None =
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdCompressor(level=3)
     for batch in kernels.slices(batches, "text", 8 << 20):
-        raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
-        tie = pa.array([int.from_bytes(hashlib.blake2b(r, digest_size=8).digest(), "little", signed=True) for r in raw], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), tie, pa.array([z.compress(r) for r in raw], pa.binary())], names=["id", "tie", "data"])
+        raw = [z.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "place", "tie")], pa.array(raw, pa.binary())], names=["id", "place", "tie", "data"])
 
 
 OUT = "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -185,26 +186,34 @@ def against_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     likenesses of the first to the second and to the next row's. Next is by descending key, null keys last, rows of
     one key by a hash of the text; after the last comes the first, which for a single row is itself.
 
-    Rows are dealt to buckets of keys; the head of each is also sent to the bucket before it, so that no task sees
-    all rows. The driver holds the buckets' bounds and greatest keys."""
+    Rows are dealt to buckets of keys, and those of a key that fills buckets alone to buckets by the hash of their
+    texts; the head of each is also sent to the bucket before it, so that no task sees all rows. The driver holds the
+    buckets' bounds and heads. Rows equal in key and text stay together. An empty table gives no rows."""
     spark = docs.sparkSession
     terms = lexicon(docs, text)
-    held = pick(docs, id=key, text=text)
-    place = F.coalesce(F.col("id"), F.lit(-(1 << 63)))
+    held = pick(docs, id=key, text=text).withColumns({"place": F.coalesce(F.col("id").cast("bigint"), F.lit(-(1 << 63))), "tie": F.xxhash64("text")})
     n = partitions(spark)
-    bounds = sorted(set(held.select(F.coalesce(F.col("id"), F.lit(0)).cast("double").alias("id")).approxQuantile("id", [i / n for i in range(1, n)], 0.1 / n) or []))
-    cuts = F.array(*[F.lit(int(b)).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    bucket = F.when(F.col("id").isNull(), F.lit(len(bounds))).otherwise(F.size(F.filter(cuts, lambda b: b > F.col("id"))))
-    heads = {r["bucket"]: r["head"] for r in held.groupBy(bucket.alias("bucket")).agg(F.max(place).alias("head")).collect()}
+    places = held.select("place")
+    bounds = sorted(set(places.select(F.col("place").cast("double").alias("p")).approxQuantile("p", [i / n for i in range(1, n)], 0.1 / n) or []))
+    array = lambda xs: F.array(*[F.lit(int(x)).cast("long") for x in xs]) if xs else F.array().cast("array<bigint>")
+    # Keys with more rows than a bucket should have (as many as buckets at most) have buckets of their own.
+    most = max(1, places.count() // n)
+    hot = {r["place"]: -(-r["c"] // most) for r in places.groupBy("place").agg(F.count("*").alias("c")).filter(F.col("c") > most).collect()}
+    above = lambda xs: F.size(F.filter(array(xs), lambda x: x > F.col("place"))).cast("long")
+    parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x).cast("long") for k in hot.items() for x in k]), F.col("place")), F.lit(0)) if hot else F.lit(0)
+    part = F.floor(F.shiftrightunsigned(F.col("tie").bitwiseXOR(F.lit(-(1 << 63))), 32) * parts / F.lit(1 << 32))
+    bucket = F.shiftleft(above(bounds), 42) + F.shiftleft(2 * above(hot) + F.when(parts > 0, 1).otherwise(0), 21) + part
+    small = held.mapInArrow(_small, "id bigint, place bigint, tie bigint, data binary").withColumn("bucket", bucket)
+    first = F.max(F.struct(F.col("place"), F.bitwise_not("tie").alias("tie")))
+    heads = {r["bucket"]: (r["h"]["place"], ~r["h"]["tie"]) for r in held.groupBy(bucket.alias("bucket")).agg(first.alias("h")).collect()}
     order = sorted(heads)
     before = {b: order[i - 1] for i, b in enumerate(order)}
-    # One row a bucket: its greatest key, and the bucket that its head is also sent to.
-    sent = spark.createDataFrame([(b, heads[b], before[b]) for b in order], "bucket int, head bigint, before int")
-    small = held.mapInArrow(_small, "id bigint, tie bigint, data binary").withColumn("bucket", bucket)
-    placed = small.join(F.broadcast(sent), "bucket").withColumn("place", place)
+    # One row a bucket: its first row, and the bucket that its head is also sent to.
+    sent = spark.createDataFrame([(b, *heads[b], before[b]) for b in order], "bucket bigint, head bigint, head_tie bigint, before bigint")
+    placed = small.join(F.broadcast(sent), "bucket")
     here = F.struct(F.col("bucket"), F.lit(0).alias("tail"))
     there = F.struct(F.col("before").alias("bucket"), F.lit(1).alias("tail"))
-    to = F.explode(F.when(F.col("place") == F.col("head"), F.array(here, there)).otherwise(F.array(here)))
+    to = F.explode(F.when((F.col("place") == F.col("head")) & (F.col("tie") == F.col("head_tie")), F.array(here, there)).otherwise(F.array(here)))
     dealt = placed.withColumn("to", to).select("to.bucket", "to.tail", "id", "place", "tie", "data")
     dealt = dealt.repartition(max(1, n), "bucket").sortWithinPartitions("bucket", "tail", F.desc("place"), "tie")
     return dealt.select("bucket", "tail", "id", "data").mapInArrow(lambda b: _compared(b, terms), OUT).withColumnRenamed("id", key)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import bisect
-import uuid
+import hashlib
 import zlib
 from collections import deque
 from collections.abc import Iterator, Mapping
@@ -11,6 +11,7 @@ from collections.abc import Iterator, Mapping
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from weft.llm.scratch import Scratch, partitions, pick
 
 #: Tokens in a chunk, about: what one task packs alone; and what a worker holds of all sources before it writes them down.
 CHUNK = 1 << 20
+#: Queues at most; of more sources the largest half as many have their own, all others share the rest by a hash.
+QUEUES = 1024
 PARTS = "part string, source string, size bigint, ids array<bigint>, sizes array<bigint>, data binary"
 SLICES = "chunk bigint, source string, at bigint, ids array<bigint>, starts array<bigint>, sizes array<bigint>, wholes array<bigint>, data binary"
 PIECES = "id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -29,17 +32,23 @@ def _batch(rows: list[tuple], names: str, kinds: list[pa.DataType]) -> pa.Record
 
 
 def _parts(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int, size: int) -> Iterator[pa.RecordBatch]:
-    """Documents as token ids, those of one source a row; rows are written whenever `size` tokens are held of all sources."""
+    """Documents as token ids, those of one source a row; rows are written whenever `size` tokens are held of all sources.
+
+    A row is named by what it holds, and by its place only where two hold the same, so that two runs over the same files
+    pack alike."""
     last = np.uint32(end).tobytes()
     memory = tokens.held(("ids", tokenizer), lambda: tokens.Memory(lambda pieces: tokens.encode_bytes(tokenizer, pieces)))
     held: dict[str | None, tuple[list, list, list]] = {}
-    total = 0
+    total = written = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal written
         kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
         for source, (ids, sizes, raw) in held.items():
-            data = zstandard.ZstdCompressor(level=1).compress(_narrow(b"".join(raw)))
-            yield _batch([(uuid.uuid4().hex, source, sum(sizes), ids, sizes, data)], "part source size ids sizes data", kinds)
+            raw = b"".join(raw)
+            name = hashlib.blake2b(raw + repr((source, ids, sizes)).encode(), digest_size=16).hexdigest()
+            written += 1
+            yield _batch([(f"{name}-{TaskContext.get().partitionId()}-{written}", source, sum(sizes), ids, sizes, zstandard.ZstdCompressor(level=1).compress(_narrow(raw)))], "part source size ids sizes data", kinds)
         held.clear()
 
     for batch in kernels.slices(batches, "text"):
@@ -234,6 +243,18 @@ def _before(parts: DataFrame) -> DataFrame:
     return run.join(groups, run["source"].eqNullSafe(groups["of"]) & (run["group"] == groups["at"])).select("part", (F.col("own") + F.col("n")).alias("before"))
 
 
+def _queued(held: DataFrame, named: set) -> DataFrame:
+    """held with the name of a queue as its source: all sources, if there are at most QUEUES or `named` has them; else
+    the largest, by documents, and pools of the others. So plan and totals are bounded whatever the sources are."""
+    counted = held.groupBy("source").agg(F.count("*").alias("n"))
+    if counted.count() <= QUEUES:
+        return held
+    own = [r["source"] for r in counted.orderBy(F.desc("n"), "source").limit(QUEUES // 2).collect()]
+    kept = F.coalesce(F.col("source").isin([s for s in {*own, *named} if s is not None]), F.lit(None in own))
+    pool = F.concat(F.lit("\0pool "), F.pmod(F.xxhash64("source"), F.lit(QUEUES // 2)).cast("string"))
+    return held.withColumn("source", F.when(kept, F.col("source")).otherwise(pool))
+
+
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", source: str = "source", window: int = 4096, end: int = 2, shares: Mapping[str, float] | None = None) -> DataFrame:
     """Pieces of documents in sequences of `window` tokens: the key, start, length, ids_crc32, doc_tokens, sequence_id,
     offset.
@@ -246,10 +267,11 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     Sequence numbers have no gaps as long as sources are fewer than half a window's tokens.
 
     Null texts are empty documents (one token); a null source is a source of its own; keys aren't looked up, so that
-    null and repeated ones do no harm; other columns aren't read."""
+    null and repeated ones do no harm; other columns aren't read; an empty table gives no pieces. Beyond QUEUES
+    sources the small ones that `shares` doesn't name share queues, and so their proportions hold together."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    held = pick(docs, id=key, text=text, source=source)
+    held = _queued(pick(docs, id=key, text=text, source=source).withColumn("source", F.col("source").cast("string")), set(shares or ()))
     parts = scratch.table(held.mapInArrow(lambda b: _parts(b, tokenizer, end, CHUNK), PARTS), "parts")
     totals = {r["source"]: r["n"] for r in parts.groupBy("source").agg(F.sum("size").alias("n")).collect()}  # one row a source
     whole = sum(totals.values()) or 1

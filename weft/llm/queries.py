@@ -45,7 +45,7 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = counting.count_tokens(_documents(spark, sf_dir).select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
-    return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return found.select("doc_id", "n_bytes", "n_tokens", "over_limit", "n_splices")
 
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +113,8 @@ def _op10_sql() -> str:
     return rf"""
     WITH a AS (
       SELECT page_id, url, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest FROM pages),
-    h AS (SELECT page_id, url, lower(regexp_extract(rest, '^[^/]*')) AS host, regexp_extract(rest, '^[^/]*(.*)$', 1) AS path FROM a),
+    h AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 substr(rest, length(regexp_extract(rest, '^[^/]*')) + 1) AS path FROM a),
     t AS (SELECT *, {hits} AS n_strict, {soft} AS n_soft, {case(True)} AS rule, {case(False)} AS said FROM h)
     SELECT page_id, host, path, rule, coalesce(said, CASE WHEN n_strict > 0 OR n_soft >= {urls.LEAST_SOFT} THEN 'block' ELSE 'allow' END) AS verdict,
            n_strict::BIGINT AS n_strict, n_soft::BIGINT AS n_soft

@@ -42,6 +42,7 @@ ALLOW = (
 #: end at the query, the fragment or '&'. Paths that are credentials themselves name a hook.
 URL = re.compile(r"""://([^\s"'`“”‘’«»,;()\[\]{}<>|\\^]*)""")
 _AFTER_PATH, _AFTER_HOST, _HOOK = re.compile(r"[?#&]"), re.compile(r"[/?#&]"), re.compile(r"(?i)hook")
+_WORD = re.compile(r"[A-Za-z]?[a-z]+|[A-Z]+")
 _N_LOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 _CLASS = np.zeros(256, dtype=bool)
 _CLASS[[ord(c) for c in CLASSES[-1][1]]] = True
@@ -102,8 +103,8 @@ def url_paths(text: str) -> list[tuple[int, int]]:
 
 
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all spans: base ones and those of high entropy that touch no base span nor stand in the host or
-    path of a url."""
+    """Base spans, and all spans: base ones and what else is of high entropy and doesn't stand in the host or path of a
+    url."""
     base = base_spans(text)
     more = []
     paths, k = None, 0
@@ -117,12 +118,29 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
         if k < len(paths) and paths[k][0] < m.end():  # the candidate ends in it; it may have begun with the '//'
             continue
         for a, b in windows(s):
-            a, b = m.start() + a, m.start() + b
-            if all(b <= x or y <= a for x, _, y in base):
-                more.append((a, len(PATTERNS), b))
+            more += [(x, len(PATTERNS), y) for x, y in _beside(text, m.start() + a, m.start() + b, base)]
     return base, sorted(base + more)
 
 
+def _beside(text: str, a: int, b: int, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """A run of high entropy without the base spans in it. What is left beside one, its head or tail, is part of the
+    same secret; only separators and a plain word, such as the beginning of the assigned name, are not."""
+    touched = False
+    for x, _, y in [*base, (b, 0, b)]:
+        if y > a and x < b or x == b:
+            touched |= x < b
+            left, right = a, min(x, b)
+            if touched:
+                while left < right and text[left] in "_=/+-":
+                    left += 1
+                while left < right and text[right - 1] in "_=/+-":
+                    right -= 1
+            own = text[left:right]
+            if own and not (touched and (len(own) < 4 or _WORD.fullmatch(own))):
+                yield left, right
+            a = max(a, y)
+
+
 def _suspects(batch: pa.RecordBatch, text: str) -> np.ndarray:
     """Rows that can have spans at all: with a candidate run of bytes, 16 of them at least, or with ':' or '='."""
     offsets, data = kernels.utf8(batch.column(text))

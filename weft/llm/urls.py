@@ -14,8 +14,26 @@ from weft.llm.scratch import extended
 #: (verdict, host, path), as the contract lists them.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: One strict term rejects a url; of the soft ones it takes two different.
-STRICT = ("porn", "xxx", "hentai", "viagra", "cialis", "escort", "escorts", "camgirls", "warez", "phishing")
-SOFT = ("free", "bet", "bets", "betting", "casino", "poker", "slots", "jackpot", "bonus", "win", "winner", "loan", "loans", "payday", "cheap", "pills", "dating", "adult", "sexy", "torrent", "crack", "keygen", "lottery", "replica")
+STRICT = (
+    # adult
+    "porn", "porno", "pornhub", "pornstar", "pornstars", "xxx", "xvideos", "hentai", "milf", "camgirl", "camgirls", "sexcam", "sexcams", "sextube", "escort", "escorts", "blowjob", "gangbang", "nsfw", "upskirt",
+    # drugs without a prescription
+    "viagra", "cialis", "levitra", "tramadol", "xanax", "kamagra",
+    # piracy, fraud
+    "warez", "keygen", "keygens", "serialz", "phishing", "carding", "fullz", "cvvshop", "ransomware", "cryptolocker",
+)
+SOFT = (
+    # gambling
+    "bet", "bets", "betting", "casino", "casinos", "poker", "slots", "slot", "jackpot", "bonus", "roulette", "blackjack", "baccarat", "bingo", "lottery", "win", "winner", "odds", "wager",
+    # money
+    "free", "loan", "loans", "payday", "cheap", "discount", "rich", "profit", "profits", "forex", "bitcoin", "refinance", "cash", "giveaway",
+    # health
+    "pills", "pharmacy", "diet", "steroids", "weightloss", "detox", "prescription",
+    # adult and dating
+    "dating", "adult", "adults", "sexy", "sex", "nude", "nudes", "naked", "erotic", "fetish", "hookup", "singles", "webcam", "webcams", "lingerie", "hot",
+    # piracy
+    "torrent", "torrents", "crack", "cracked", "cracks", "serial", "nulled", "hack", "hacks", "cheats", "replica", "replicas", "fullmovie",
+)
 LEAST_SOFT = 2
 
 
@@ -24,8 +42,9 @@ def parts(url: Column) -> tuple[Column, Column]:
     has = F.coalesce(F.locate("://", url) > 0, F.lit(False))
     after = F.when(has, F.substring(url, F.locate("://", url) + 3, F.length(url))).otherwise(F.lit(""))
     plain = F.regexp_extract(after, r"^([^?#]*)", 1)
-    host = F.translate(F.regexp_extract(plain, r"^([^/]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return host, F.regexp_extract(plain, r"^[^/]*(.*)$", 1)
+    own = F.regexp_extract(plain, r"^([^/]*)", 1)
+    # By places, not by a pattern: line ends belong to the path as well.
+    return F.translate(own, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.substring(plain, F.length(own) + 1, F.length(plain))
 
 
 def rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> Column:
