@@ -1,6 +1,7 @@
 """Construction, resolution, queries, traversals and communities on small graphs made by hand."""
 
 import itertools
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -164,10 +165,10 @@ def cliques(spark, n=5):
     return make_nodes(spark, *({"id": f"{c}{i}"} for c in "ab" for i in range(n)), {"id": "alone"}), make_edges(spark, *pairs, ("a0", "b0", "CALLS"))
 
 
-@pytest.mark.parametrize("small", [1_000_000, 0])
-def test_planted_cliques_are_found(spark, small):
+@pytest.mark.parametrize("block", [community.BLOCK, 15])
+def test_planted_cliques_are_found(spark, block):
     nodes, edges = cliques(spark)
-    found = {r["node_id"]: r["label"] for r in community.partition(nodes, edges, 1.0, small).collect()}
+    found = {r["node_id"]: r["label"] for r in community.partition(nodes, edges, 1.0, block).collect()}
     assert len(found) == 11 and found["alone"] == "alone"
     assert len({found[f"a{i}"] for i in range(5)}) == 1 == len({found[f"b{i}"] for i in range(5)}) and found["a1"] != found["b1"]
 
@@ -180,6 +181,21 @@ def test_louvain_is_deterministic_and_gains():
     assert community.louvain([]) == {}
 
 
+def test_blocks_find_communities_as_good(spark):
+    """The same moves in one block give the plain algorithm's labels; more blocks give modularity near to its."""
+    r = random.Random(3)
+    pairs = {tuple(sorted(r.sample(range(40 * c, 40 * c + 40), 2))) for c in range(6) for _ in range(150)} | {tuple(sorted(r.sample(range(240), 2))) for _ in range(120)}
+    rows = sorted((f"n{a:03}", f"n{b:03}", 1.0) for a, b in pairs)
+    df = spark.createDataFrame(rows, "a string, b string, weight double")
+    plain = community.louvain(rows)
+    one = {x["node_id"]: x["label"] for x in community.labelled(df).collect()}
+    assert one == plain
+    labels = community.labelled(df, block=400)
+    found, best = community.quality(df, labels), community.modularity(rows, plain)
+    assert found == pytest.approx(community.modularity(rows, {x["node_id"]: x["label"] for x in labels.collect()}))
+    assert found > 0.95 * best > 0.4
+
+
 def test_first_weight_of_a_pair_counts(spark):
     edges = make_edges(spark, ("a", "b", "IMPORTS"), ("b", "a", "CALLS"), ("a", "c", "CONTAINS_FILE"), ("a", "Community::x", "BELONGS_TO_COMMUNITY"))
     assert rows(community.projection(edges)) == [("a", "b", 2.0), ("a", "c", 1.0)]
@@ -216,6 +232,8 @@ def test_descriptions_and_vectors(spark, graph):
     assert best["id"] == "Class::src/b.ts:Child" and 0 < best["score"] <= 1
     assert vectors.search(store, [0.0] * 384, 0).count() == 0
     more = vectors.add(store, spark.createDataFrame([("new", "t", [1.0] * 384), ("Class::src/b.ts:Child", "t", [0.0] * 384)], store.schema))
+    again = vectors.add(store, spark.createDataFrame([("new", "t", [1.0] * 384), ("new", "u", [0.5] * 384)], store.schema))
+    assert rows(again.filter("id = 'new'").select("text")) == [("u",)]
     assert more.count() == store.count() + 1 and vectors.remove(more, ["new"]).count() == store.count()
 
 
@@ -233,3 +251,15 @@ def test_enclosing_and_colours(spark):
     at = spark.createDataFrame([(1, "p", 3), (2, "p", 8), (3, "p", 50), (4, "q", 1)], "pos_id int, path string, line int")
     assert {r["pos_id"]: r["node_id"] for r in search.enclosing(nodes, at).collect()} == {1: "small", 2: "big", 3: "F", 4: None}
     assert rows(search.colours(nodes)) == [("x", 1), ("y", 0)]
+
+
+def test_enclosing_spans_of_all_lengths(spark):
+    r = random.Random(8)
+    spans = [(f"s{i}", "pq"[i % 2], a := r.randint(0, 3000), a + r.choice([0, 1, 2, 3, 7, 8, 9, 64, 500, 2900])) for i in range(120)]
+    nodes = make_nodes(spark, *({"id": i, "qualified_name": f"{p}:{i}", "start_line": a, "end_line": b} for i, p, a, b in spans))
+    at = [(k, "pq"[k % 2], r.randint(0, 5000)) for k in range(300)]
+    found = {x["pos_id"]: x["node_id"] for x in search.enclosing(nodes, spark.createDataFrame(at, "pos_id int, path string, line int")).collect()}
+    order = {s[0]: k for k, s in enumerate(spans)}
+    for k, p, line in at:
+        around = [(b - a, order[i], i) for i, q, a, b in spans if q == p and a <= line <= b]
+        assert found[k] == (min(around)[2] if around else None)

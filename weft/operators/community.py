@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.plans.lineage import cut, numbered
@@ -14,8 +14,8 @@ from weft.schema import COMMUNITY_EDGES, EDGES, NODES, PHASE, PHASES
 #: Edge weights by type (others 1), and the resolution of each level.
 WEIGHTS = {"CALLS": 3.0, "IMPORTS": 2.0, "HAS_METHOD": 2.0, "EXTENDS": 2.0, "CONTAINS": 1.0, "IMPORTS_EXTERNAL": 0.5}
 RESOLUTIONS = (0.5, 1.0, 2.0)
-#: Edges up to which a component is clustered in one task; larger ones move in rounds of joins.
-SMALL, ROUNDS, LEVELS = 1_000_000, 20, 10
+#: Links (two a pair) that one task settles, about; and the least gain in modularity that counts.
+BLOCK, GAIN = 100_000, 1e-9
 
 
 def projection(edges: DataFrame) -> DataFrame:
@@ -25,63 +25,62 @@ def projection(edges: DataFrame) -> DataFrame:
     return kept.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.min_by(weight, F.col("ord")).alias("weight"))
 
 
-def louvain(pairs: Iterable[tuple], resolution: float = 1.0, most: int = 50) -> dict:
-    """Node -> label (its least member): local moves in node order, then aggregation, until nothing moves.
-
-    Deterministic: of equal gains the least label wins, and a node stays unless it gains."""
-    links: dict = {}
-    for a, b, w in pairs:
-        links.setdefault(a, {})[b] = links.setdefault(a, {}).get(b, 0.0) + w
-        links.setdefault(b, {})[a] = links.setdefault(b, {}).get(a, 0.0) + w
-    own = dict.fromkeys(links, 0.0)  # weight inside a merged node, both ways
-    label = {v: v for v in links}
-    total = sum(sum(x.values()) for x in links.values())
-    if not total:
-        return label
-    for _ in range(most):
-        degree = {v: own[v] + sum(links[v].values()) for v in links}
-        at, held = {v: v for v in links}, dict(degree)
-        moved_ever = False
-        for _ in range(most):
-            moved = False
-            for v in sorted(links):
-                near: dict = {}
-                for u, w in links[v].items():
-                    near[at[u]] = near.get(at[u], 0.0) + w
-                c = at[v]
-                held[c] -= degree[v]
-                gain = lambda x, near=near, v=v: near.get(x, 0.0) - resolution * degree[v] * held[x] / total
-                best, most_gain = c, gain(c)
-                for x in sorted(near):
-                    if gain(x) > most_gain + 1e-12:
-                        best, most_gain = x, gain(x)
-                held[best] += degree[v]
-                if best != c:
-                    at[v], moved, moved_ever = best, True, True
-            if not moved:
-                break
-        if not moved_ever:
+def _moves(order: list, links: dict, outer: dict, at: dict, degree: dict, held: dict, resolution: float, total: float) -> bool:
+    """Local moves of nodes, in order, until none gains, among their neighbours' communities `at`; whether any moved.
+
+    Links to other nodes of `at` follow their moves; `outer` has sums by community that stay where they are. Of equal
+    gains the least community wins, and a node stays unless it gains."""
+    ever, moved = False, True
+    while moved:
+        moved = False
+        for v in order:
+            near = dict(outer.get(v, ()))
+            for u, w in links[v].items():
+                near[at[u]] = near.get(at[u], 0.0) + w
+            c, rate, margin = at[v], resolution * degree[v] / total, 1e-10 * (1 + degree[v])
+            held[c] -= degree[v]
+            best, most = c, near.get(c, 0.0) - rate * held[c]
+            for x in sorted(near):
+                gain = near[x] - rate * held[x]
+                if gain > most + margin:
+                    best, most = x, gain
+            held[best] += degree[v]
+            if best != c:
+                at[v], moved, ever = best, True, True
+    return ever
+
+
+def _levels(links: dict, degree: dict, resolution: float) -> dict:
+    """Node -> label (its least member): local moves, then communities become nodes, until nothing moves."""
+    label, total = {v: v for v in degree}, sum(degree.values())
+    while total:
+        at = {v: v for v in degree}
+        if not _moves(sorted(degree), links, {}, at, degree, dict(degree), resolution, total):
             break
         names: dict = {}
-        for v in sorted(links):
+        for v in sorted(degree):
             names.setdefault(at[v], v)
         merged: dict = {n: {} for n in names.values()}
-        inner = dict.fromkeys(merged, 0.0)
+        sums = dict.fromkeys(merged, 0.0)
         for v, near in links.items():
             x = names[at[v]]
-            inner[x] += own[v]
+            sums[x] += degree[v]
             for u, w in near.items():
                 y = names[at[u]]
-                if x == y:
-                    inner[x] += w
-                else:
+                if x != y:
                     merged[x][y] = merged[x].get(y, 0.0) + w
         label = {v: names[at[c]] for v, c in label.items()}
-        links, own = merged, inner
-    least: dict = {}
-    for v in sorted(label):
-        least.setdefault(label[v], v)
-    return {v: least[c] for v, c in label.items()}
+        links, degree = merged, sums
+    return label
+
+
+def louvain(pairs: Iterable[tuple], resolution: float = 1.0) -> dict:
+    """Node -> label (its least member) of a graph that fits one task."""
+    links: dict = {}
+    for a, b, w in pairs:
+        links.setdefault(a, {})[b] = links.setdefault(a, {}).get(b, 0.0) + w
+        links.setdefault(b, {})[a] = links.setdefault(b, {}).get(a, 0.0) + w
+    return _levels(links, {v: sum(near.values()) for v, near in links.items()}, resolution)
 
 
 def modularity(pairs: Iterable[tuple], label: dict, resolution: float = 1.0) -> float:
@@ -94,64 +93,116 @@ def modularity(pairs: Iterable[tuple], label: dict, resolution: float = 1.0) ->
     return inside / total - resolution * sum((d / (2 * total)) ** 2 for d in degree.values()) if total else 0.0
 
 
-def _local(both: DataFrame, degree: DataFrame, total: float, resolution: float) -> DataFrame:
-    """(v, c) after synchronous local moves. A node moves to the neighbouring community with the greatest gain, the
-    least of equals; odd rounds allow only moves to greater labels and even ones to lesser, so that two nodes never
-    swap for ever. It ends when neither kind moves any."""
-    label, still = cut(degree.select("v", F.col("v").alias("c"), "k")), 0
-    for turn in range(ROUNDS):
-        held = label.groupBy("c").agg(F.sum("k").alias("held"))
-        near = both.join(label.select(F.col("v").alias("u"), "c"), "u").groupBy("v", "c").agg(F.sum("weight").alias("w"))
-        own = label.select("v", F.col("c").alias("now"), "k")
-        stay = own.select("v", F.col("now").alias("c"), F.lit(0.0).alias("w"))
-        options = near.unionByName(stay).groupBy("v", "c").agg(F.sum("w").alias("w")).join(own, "v").join(held, "c")
-        rest = F.col("held") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("w") - resolution * F.col("k") * rest / total, 9)
-        allowed = (F.col("c") <= F.col("now")) if turn % 2 == 0 else (F.col("c") >= F.col("now"))
-        best = options.filter(allowed).groupBy("v", "now", "k").agg(F.min_by("c", F.struct(-gain, F.col("c") != F.col("now"), F.col("c"))).alias("c"))
-        new = cut(best)
-        still = still + 1 if new.filter("c <> now").isEmpty() else 0
-        label = new.select("v", "c", "k")
-        if still == 2:
-            break
-    return label.select("v", "c")
-
-
-def _moved(pairs: DataFrame, resolution: float) -> DataFrame:
-    """(node_id, label) for graphs beyond one task: local moves by joins, then communities become nodes, until nothing
-    moves."""
-    links = cut(pairs.select(F.col("a").alias("v"), F.col("b").alias("u"), "weight").unionByName(pairs.select(F.col("b").alias("v"), F.col("a").alias("u"), "weight")))
-    degree = cut(links.groupBy("v").agg(F.sum("weight").alias("k")))
-    total = degree.agg(F.sum("k").alias("t")).first()["t"] or 1.0
-    labels = degree.select(F.col("v").alias("node_id"), F.col("v").alias("label"))
-    for _ in range(LEVELS):
-        moved = cut(_local(links, degree, total, resolution))
+def _of(df: pd.DataFrame, kind: str, *names: str):
+    return zip(*[df[c].to_numpy()[df["kind"].to_numpy() == kind].tolist() for c in names], strict=True)
+
+
+def _settled(df: pd.DataFrame, resolution: float, total: float) -> pd.DataFrame:
+    """Local moves of a block's nodes. Links inside the block follow the moves; those out of it are sums by community."""
+    at, degree = {}, {}
+    for v, c, k in _of(df, "node", "v", "c", "w"):
+        at[v], degree[v] = c, k
+    inner: dict = {v: {} for v in at}
+    outer: dict = {}
+    for v, u, w in _of(df, "inner", "v", "c", "w"):
+        inner[v][u] = w
+    for v, c, w in _of(df, "outer", "v", "c", "w"):
+        outer.setdefault(v, {})[c] = w
+    order = sorted(at)
+    _moves(order, inner, outer, at, degree, dict(_of(df, "held", "c", "w")), resolution, total)
+    return pd.DataFrame({"v": order, "c": [at[v] for v in order]}, columns=["v", "c"])
+
+
+def _finished(df: pd.DataFrame, resolution: float) -> pd.DataFrame:
+    """All remaining levels of a graph of one block."""
+    degree = dict(_of(df, "node", "v", "w"))
+    links: dict = {v: {} for v in degree}
+    for v, u, w in _of(df, "inner", "v", "c", "w"):
+        links[v][u] = w
+    found = _levels(links, degree, resolution)
+    return pd.DataFrame({"v": list(found), "c": list(found.values())}, columns=["v", "c"])
+
+
+def _rows(df: DataFrame, block: str | Column, kind: str, v: str, c: str, w: str) -> DataFrame:
+    return df.select(F.col(block).alias("block") if isinstance(block, str) else block.alias("block"), F.lit(kind).alias("kind"), F.col(v).cast("string").alias("v"), F.col(c).cast("string").alias("c"), F.col(w).cast("double").alias("w"))
+
+
+def _local(links: DataFrame, degree: DataFrame, total: float, resolution: float, blocks: int) -> DataFrame:
+    """(v, c): communities after local moves. links: (v, u, weight) both ways; degree: (v, k), with what is inside nodes.
+
+    Nodes are dealt to blocks, by their communities once they have some, and every block settles its nodes as a single
+    task would. Blocks don't see each other's moves, so the whole is judged after each sweep by modularity: it goes on
+    as long as that grows and stops at the best, whatever the number of sweeps."""
+    inside = total - (links.agg(F.sum("weight")).first()[0] or 0.0)
+    label, best, most, turn = cut(degree.select("v", F.col("v").alias("c"), "k")), None, None, 0
+    while True:
+        here = label.select("v", "c", "k", F.pmod(F.xxhash64("c", F.lit(turn)), F.lit(blocks)).alias("block"))
+        there = here.select(F.col("v").alias("u"), F.col("c").alias("uc"), F.col("block").alias("ub"))
+        known = cut(links.join(here.drop("k"), "v").join(there, "u"))
+        held = cut(label.groupBy("c").agg(F.sum("k").alias("held")))
+        within = known.agg(F.sum(F.when(F.col("c") == F.col("uc"), F.col("weight")))).first()[0] or 0.0
+        spread = held.agg(F.sum((F.col("held") / total) ** 2)).first()[0] or 0.0
+        quality = (within + inside) / total - resolution * spread
+        if most is not None and quality <= most + GAIN:
+            return best
+        best, most, turn = label.select("v", "c"), quality, turn + 1
+        outer = known.filter("block <> ub").groupBy("block", "v", F.col("uc").alias("c")).agg(F.sum("weight").alias("w"))
+        seen = here.select("block", "c").unionByName(outer.select("block", "c")).distinct().join(held, "c").withColumn("v", F.lit(None).cast("string"))
+        rows = _rows(here, "block", "node", "v", "c", "k").unionByName(_rows(known.filter("block = ub"), "block", "inner", "v", "u", "weight"))
+        rows = rows.unionByName(_rows(outer, "block", "outer", "v", "c", "w")).unionByName(_rows(seen, "block", "held", "v", "c", "held"))
+        moved = rows.groupBy("block").applyInPandas(lambda df: _settled(df, resolution, total), "v string, c string")
+        label = cut(label.select("v", "k").join(moved, "v").select("v", "c", "k"))
+
+
+def labelled(pairs: DataFrame, resolution: float = 1.0, block: int = BLOCK) -> DataFrame:
+    """(node_id, label) of the nodes of pairs (a, b, weight): local moves, then communities become nodes, until nothing
+    moves. A label is its community's least node. Moves are the same in one block and in many; once what is left is one
+    block, a task goes through all levels that remain."""
+    both = pairs.select(F.col("a").alias("v"), F.col("b").alias("u"), "weight").unionByName(pairs.select(F.col("b").alias("v"), F.col("a").alias("u"), "weight"))
+    links = cut(both.withColumn("weight", F.col("weight").cast("double")))
+    degree = links.groupBy("v").agg(F.sum("weight").alias("k"))
+    labels = None
+    while True:
+        blocks = -(-links.count() // block)
+        if blocks <= 1:
+            one = _rows(degree, F.lit(0), "node", "v", "v", "k").unionByName(_rows(links, F.lit(0), "inner", "v", "u", "weight"))
+            moved = one.groupBy("block").applyInPandas(lambda df: _finished(df, resolution), "v string, c string")
+        else:
+            degree = cut(degree)
+            moved = _local(links, degree, degree.agg(F.sum("k").alias("t")).first()["t"], resolution, blocks)
+            # Merged nodes are called by their least member.
+            names = moved.groupBy("c").agg(F.min("v").alias("name"))
+            moved = cut(moved.join(names, "c").select("v", F.col("name").alias("c")))
+        own = moved.select(F.col("v").alias("node_id"), F.col("c").alias("label"))
+        labels = own if labels is None else labels.join(moved, F.col("label") == F.col("v")).select("node_id", F.col("c").alias("label"))
+        if blocks <= 1:
+            return labels
+        labels = cut(labels)
         if moved.filter("v <> c").isEmpty():
-            break
-        labels = cut(labels.join(moved, F.col("label") == F.col("v")).select("node_id", F.col("c").alias("label")))
+            return labels
         there = moved.select(F.col("v").alias("u"), F.col("c").alias("d"))
         links = cut(links.join(moved, "v").join(there, "u").filter("c <> d").groupBy(F.col("c").alias("v"), F.col("d").alias("u")).agg(F.sum("weight").alias("weight")))
-        degree = cut(degree.join(moved, "v").groupBy(F.col("c").alias("v")).agg(F.sum("k").alias("k")))
-    return labels
+        degree = degree.join(moved, "v").groupBy(F.col("c").alias("v")).agg(F.sum("k").alias("k"))
 
 
-def partition(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, small: int = SMALL) -> DataFrame:
+def partition(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, block: int = BLOCK) -> DataFrame:
     """(node_id, label) of all nodes but communities; nodes without edges are communities of their own."""
-    pairs = cut(projection(edges))
-    if pairs.count() <= small:
-
-        def run(df: pd.DataFrame) -> pd.DataFrame:
-            found = louvain(df[["a", "b", "weight"]].itertuples(index=False, name=None), resolution)
-            return pd.DataFrame({"node_id": list(found), "label": list(found.values())})
-
-        # One task, of a size that has just been checked.
-        labels = pairs.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "node_id string, label string")
-    else:
-        labels = _moved(pairs, resolution)
+    labels = labelled(cut(projection(edges)), resolution, block)
     held = nodes.filter(F.col("type") != "Community").select(F.col("id").alias("node_id")).distinct()
     return held.join(labels, "node_id", "left").select("node_id", F.coalesce("label", "node_id").alias("label"))
 
 
+def quality(pairs: DataFrame, labels: DataFrame, resolution: float = 1.0) -> float:
+    """Modularity of (node_id, label) over pairs (a, b, weight)."""
+    a, b = (labels.select(F.col("node_id").alias(x), F.col("label").alias(f"{x}_label")) for x in "ab")
+    known = cut(pairs.join(a, "a").join(b, "b").select("a_label", "b_label", "weight"))
+    total, inside = known.agg(F.sum("weight"), F.sum(F.when(F.col("a_label") == F.col("b_label"), F.col("weight")).otherwise(0.0))).first()
+    if not total:
+        return 0.0
+    ends = known.select(F.explode(F.array("a_label", "b_label")).alias("c"), "weight").groupBy("c").agg(F.sum("weight").alias("d"))
+    return inside / total - resolution * ends.agg(F.sum((F.col("d") / (2 * total)) ** 2)).first()[0]
+
+
 def named(labels: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
     """MEMBERSHIP rows with names 'level{L}_community{N}', numbered by each community's first node."""
     order = nodes.groupBy(F.col("id").alias("node_id")).agg(F.min("ord").alias("ord"))

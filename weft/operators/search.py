@@ -149,9 +149,20 @@ def communities(nodes: DataFrame, membership: DataFrame, level: int = 1, limit:
 
 def enclosing(nodes: DataFrame, positions: DataFrame) -> DataFrame:
     """For positions (pos_id, path, line): the narrowest function, class or interface of the file around the line, the
-    first of equals; else the file itself. An equi-join on the file with the range as a filter."""
+    first of equals; else the file itself.
+
+    A span of up to 2**k lines lies in one or two of the file's stretches of 2**k lines. So the join is on the file, k
+    and the stretch: a position meets the spans near it, of all lengths, and not all of the file's."""
     spans = nodes.filter(F.col("type").isin("Function", "Class", "Interface")).select(F.col("id").alias("node_id"), path_of(F.col("path"), F.col("qualified_name")).alias("path"), "start_line", "end_line", F.col("ord").alias("node_ord"))
-    inside = positions.join(spans, "path").filter((F.col("start_line") <= F.col("line")) & (F.col("line") <= F.col("end_line")))
+    spans = spans.filter("start_line <= end_line")
+    long = lambda c: F.col(c).cast("bigint")
+    length = long("end_line") - long("start_line")
+    levels = [length >= (1 << k) for k in range(31)]
+    spans = spans.withColumn("level", sum((F.when(x, 1).otherwise(0) for x in levels), F.lit(0)))
+    shift = lambda value: F.call_function("shiftright", value, F.col("level"))
+    placed = spans.withColumn("stretch", F.explode(F.sequence(shift(long("start_line")), shift(long("end_line")))))
+    at = positions.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(len(levels))))).withColumn("stretch", shift(long("line")))
+    inside = at.join(placed, ["path", "level", "stretch"]).filter((F.col("start_line") <= F.col("line")) & (F.col("line") <= F.col("end_line")))
     best = inside.groupBy("pos_id").agg(F.min_by("node_id", F.struct(F.col("end_line") - F.col("start_line"), "node_ord")).alias("node_id"))
     files = nodes.filter(F.col("type") == "File").select(F.col("id").alias("file_id"), "path")
     return positions.join(best, "pos_id", "left").join(files, "path", "left").select("pos_id", "path", "line", F.coalesce("node_id", "file_id").alias("node_id"))

@@ -63,6 +63,32 @@ class Embedder(Protocol):
     def embed(self, texts: Sequence[str]) -> np.ndarray: ...
 
 
+class Service:
+    """An embedder that is made when it is first needed. A failure is kept and reported, and making it is tried again
+    at the next call, as a model may have been fetched meanwhile."""
+
+    def __init__(self, make):
+        self.make, self.error, self._made = make, None, None
+
+    def initialize(self) -> dict:
+        """{ok} or {ok, error}."""
+        if self._made is None:
+            try:
+                self._made, self.error = self.make(), None
+            except Exception as e:  # noqa: BLE001  any failure to load is a state of the service
+                self.error = f"{type(e).__name__}: {e}"
+        return {"ok": True} if self.ready else {"ok": False, "error": self.error}
+
+    @property
+    def ready(self) -> bool:
+        return self._made is not None
+
+    def embedder(self) -> Embedder:
+        if not self.initialize()["ok"]:
+            raise RuntimeError(f"the embedding model isn't loaded: {self.error}")
+        return self._made
+
+
 class HashingEmbedder:
     """Signed feature hashing of words and of their trigrams, to unit length: lexical likeness, not meaning. It stands
     in where no model is at hand."""
@@ -109,8 +135,10 @@ def generate(nodes: DataFrame, edges: DataFrame, make=HashingEmbedder) -> DataFr
 
 
 def add(store: DataFrame, new: DataFrame) -> DataFrame:
-    """A store with rows added or replaced by id."""
-    return store.join(new.select("id"), "id", "left_anti").unionByName(new)
+    """A store with rows added or replaced by id; of ids that repeat in `new` one row counts, the greatest by its text."""
+    rest = [c for c in new.columns if c != "id"]
+    once = new.groupBy("id").agg(F.max(F.struct(*rest)).alias("row")).select("id", *[F.col("row")[c].alias(c) for c in rest]).select(*new.columns)
+    return store.join(once.select("id"), "id", "left_anti").unionByName(once)
 
 
 def remove(store: DataFrame, ids: Sequence[str]) -> DataFrame:

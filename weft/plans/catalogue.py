@@ -96,7 +96,7 @@ def node_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PAIRS = """pairs AS (SELECT DISTINCT s, d FROM (
   SELECT l_partkey AS s, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS d
-  FROM lineitem WHERE l_quantity >= 40) WHERE d IS NOT NULL AND s <> d)"""
+  FROM lineitem) WHERE d IS NOT NULL AND s <> d)"""
 _START = "(SELECT s FROM pairs GROUP BY s ORDER BY count(*) DESC, s LIMIT 1)"
 
 
@@ -302,7 +302,7 @@ def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = views.table(spark, sf_dir, "pages").select(F.regexp_extract("html", "<h1>([^ <]*)", 1).alias("path")).filter("path <> ''").distinct()
     nothing = F.array().cast("array<struct<specifier:string,names:array<string>,isDefault:boolean,isExternal:boolean,resolvedPath:string>>")
     named = words.select(F.lit("web").alias("repo"), "path", F.lit(0).alias("file"), nothing.alias("imports"))
-    href = F.substring("href", 2, 10_000)
+    href = F.substring("href", F.lit(2), F.length("href"))
     one = F.struct(F.col("href").alias("specifier"), F.array(F.lit("")).alias("names"), F.lit(False).alias("isDefault"), F.lit(False).alias("isExternal"), href.alias("resolvedPath"))
     pages = views.page_links(spark, sf_dir).groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", one.alias("i")))), lambda x: x["i"]).alias("imports"))
     files = pages.select(F.lit("web").alias("repo"), F.col("page_id").cast("string").alias("path"), F.col("page_id").cast("int").alias("file"), "imports")
@@ -325,14 +325,15 @@ def resolve_first_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH fn AS (SELECT p_partkey AS id, p_name AS name, p_brand AS file, p_partkey AS place FROM part),
-calls AS (SELECT l_orderkey AS o, l_linenumber AS n, l_suppkey, c.id AS caller, c.file, t.name FROM lineitem l JOIN fn c ON c.id = l_partkey JOIN fn t ON t.id = 1 + (l_suppkey * 7 + l_linenumber) % 150),
+calls AS (SELECT l_orderkey AS o, l_linenumber AS n, l_suppkey, c.id AS caller, c.file, t.name FROM lineitem l JOIN fn c ON c.id = l_partkey JOIN fn t ON t.id = 1 + (l_suppkey * 7 + l_linenumber) % (SELECT max(p_partkey) FROM part)),
 here AS (SELECT file, name, arg_min(id, place) AS id FROM fn GROUP BY file, name), anywhere AS (SELECT name, arg_min(id, place) AS id FROM fn GROUP BY name),
 picked AS (SELECT caller, coalesce(h.id, a.id) AS callee FROM calls c LEFT JOIN here h ON h.file = c.file AND h.name = c.name JOIN anywhere a ON a.name = c.name)
 SELECT caller, callee, count(*) AS n FROM picked WHERE caller <> callee GROUP BY caller, callee""")
 def call_edges_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = views.table(spark, sf_dir, "part")
     functions = p.select(F.lit("r").alias("repo"), F.col("p_brand").alias("file"), F.col("p_name").alias("name"), F.col("p_partkey").alias("id"), F.col("p_partkey").alias("place"))
-    calls = views.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("caller"), (1 + (F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 150).alias("target"))
+    last = p.agg(F.max("p_partkey")).first()[0] or 1
+    calls = views.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("caller"), (1 + (F.col("l_suppkey") * 7 + F.col("l_linenumber")) % last).alias("target"))
     named = calls.join(functions.select(F.col("id").alias("caller"), "repo", "file", "place"), "caller").join(functions.select(F.col("id").alias("target"), F.col("name").alias("callee_name")), "target")
     return build.resolve_calls(named.select("repo", "file", "caller", "callee_name", "place"), functions).select("caller", "callee", "n")
 
@@ -411,6 +412,80 @@ def sync_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.sync_counts(extract(views.sources(spark, sf_dir)))
 
 
+_ITEMS = """items AS (SELECT c_custkey AS k, CASE WHEN c_custkey >= 12 THEN (c_custkey - 12)::VARCHAR ELSE 'x' END AS p, c_custkey % 3 AS t,
+  'lib/m' || (c_custkey % 4) || '/c' || c_custkey || CASE c_custkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.cs' ELSE '.py' END AS path FROM customer),
+methods AS (
+  SELECT k, path, 'load' AS name, '(path: string)' AS parameters, 'Promise<void>' AS return_type, 9 AS start_line, 11 AS end_line, false AS is_exported, true AS is_async, 'helper_' || k AS calls FROM items WHERE t = 0
+  UNION ALL SELECT k, path, 'stop', '()', 'number', 12, 12, false, false, '' FROM items WHERE t = 0
+  UNION ALL SELECT k, path, 'Run', '()', 'void', 6, 6, true, false, 'Helper_' || k FROM items WHERE t = 1
+  UNION ALL SELECT k, path, 'Count', '(int a)', 'int', 7, 7, false, false, '' FROM items WHERE t = 1
+  UNION ALL SELECT k, path, 'run', '(self, a)', NULL, 7, 8, true, false, 'helper_' || k FROM items WHERE t = 2
+  UNION ALL SELECT k, path, 'stop', '(self)', NULL, 10, 11, true, true, '' FROM items WHERE t = 2)"""
+
+
+def _of_items(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    return extract(views.class_sources(spark, sf_dir)).select("path", F.explode(column).alias("x"))
+
+
+@query(f"""WITH {_ITEMS} SELECT path, 'Item_' || k AS name, 'Item_' || p AS super_class, CASE t WHEN 0 THEN 'Shape_' || k WHEN 1 THEN 'IItem_' || k ELSE '' END AS interfaces,
+  CASE t WHEN 0 THEN 8 WHEN 1 THEN 5 ELSE 6 END AS start_line, CASE t WHEN 0 THEN 13 WHEN 1 THEN 8 ELSE 11 END AS end_line, t = 1 AS is_abstract, true AS is_exported FROM items""")
+def extract_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = lambda n: F.col(f"x.{n}")
+    return _of_items(spark, sf_dir, "classes").select("path", x("name").alias("name"), x("superClass").alias("super_class"), F.array_join(x("interfaces"), ",").alias("interfaces"), x("startLine").alias("start_line"), x("endLine").alias("end_line"), x("isAbstract").alias("is_abstract"), x("isExported").alias("is_exported"))
+
+
+@query(f"WITH {_ITEMS} SELECT path, name, parameters, return_type, start_line, end_line, is_exported, is_async, calls FROM methods")
+def extract_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _of_items(spark, sf_dir, "classes").select("path", F.explode("x.methods").alias("m"))
+    x = lambda n: F.col(f"m.{n}")
+    return m.select("path", x("name").alias("name"), x("parameters").alias("parameters"), x("returnType").alias("return_type"), x("startLine").alias("start_line"), x("endLine").alias("end_line"), x("isExported").alias("is_exported"), x("isAsync").alias("is_async"), F.array_join(x("calls"), ",").alias("calls"))
+
+
+@query(f"WITH {_ITEMS} SELECT path, CASE t WHEN 0 THEN 'Shape_' ELSE 'IItem_' END || k AS name, CASE t WHEN 0 THEN 4 ELSE 3 END AS start_line, true AS is_exported FROM items WHERE t < 2")
+def extract_interfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _of_items(spark, sf_dir, "interfaces").select("path", F.col("x.name").alias("name"), F.col("x.startLine").alias("start_line"), F.col("x.isExported").alias("is_exported"))
+
+
+@query(f"WITH {_ITEMS} SELECT path, CASE t WHEN 0 THEN 'limit_' ELSE 'LIMIT_' END || k AS name, CASE t WHEN 0 THEN 'number' END AS type, 'const' AS kind, true AS is_exported, CASE t WHEN 0 THEN 6 ELSE 4 END AS start_line FROM items WHERE t <> 1")
+def extract_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _of_items(spark, sf_dir, "variables").select("path", F.col("x.name").alias("name"), F.col("x.type").alias("type"), F.col("x.kind").alias("kind"), F.col("x.isExported").alias("is_exported"), F.col("x.startLine").alias("start_line"))
+
+
+@query(f"""WITH {_ITEMS}
+SELECT path, 'Item_' || k AS name, false AS is_default, 'class' AS kind FROM items UNION ALL SELECT path, CASE t WHEN 0 THEN 'Shape_' ELSE 'IItem_' END || k, false, 'interface' FROM items WHERE t < 2
+UNION ALL SELECT path, 'limit_' || k, false, 'variable' FROM items WHERE t = 0 UNION ALL SELECT path, 'make_' || k, true, 'function' FROM items WHERE t = 0""")
+def extract_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _of_items(spark, sf_dir, "exports").select("path", F.col("x.name").alias("name"), F.col("x.isDefault").alias("is_default"), F.col("x.kind").alias("kind"))
+
+
+@query(f"""WITH {_ITEMS}, found AS (
+  SELECT i.path, CASE i.t WHEN 0 THEN './c' ELSE '.c' END || i.p AS specifier, 'Item_' || i.p AS names, false AS is_default, false AS is_external, b.path AS resolved FROM items i LEFT JOIN items b ON b.k::VARCHAR = i.p WHERE i.t <> 1)
+SELECT * FROM found UNION ALL SELECT path, CASE t WHEN 0 THEN 'fs' WHEN 1 THEN 'System' ELSE 'os' END, CASE t WHEN 0 THEN 'fs' WHEN 1 THEN '' ELSE 'os' END, t = 0, true, NULL FROM items""")
+def resolve_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports of sources, resolved by the candidates that their language tries."""
+    parsed = resolve.resolve_imports(cut(extract(views.class_sources(spark, sf_dir))))
+    x = lambda n: F.col(f"x.{n}")
+    return parsed.select("path", F.explode("imports").alias("x")).select("path", x("specifier").alias("specifier"), F.array_join(x("names"), ",").alias("names"), x("isDefault").alias("is_default"), x("isExternal").alias("is_external"), x("resolvedPath").alias("resolved"))
+
+
+@query(f"""WITH {_ITEMS}
+SELECT 'Class::' || path || ':Item_' || k AS id, 'Class' AS type, 'Item_' || k AS name, t = 1 AS is_abstract FROM items
+UNION ALL SELECT 'Interface::' || path || ':' || CASE t WHEN 0 THEN 'Shape_' ELSE 'IItem_' END || k, 'Interface', CASE t WHEN 0 THEN 'Shape_' ELSE 'IItem_' END || k, NULL FROM items WHERE t < 2""")
+def class_interface_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = build.placed(extract(views.class_sources(spark, sf_dir)))
+    return build.class_nodes(files).unionByName(build.interface_nodes(files)).select("id", "type", "name", "is_abstract")
+
+
+@query(f"""WITH {_ITEMS}
+SELECT 'Class::' || path || ':Item_' || k AS src, 'Function::' || path || ':Item_' || k || '.' || name AS dst, 'HAS_METHOD' AS type FROM methods
+UNION ALL SELECT 'Class::' || i.path || ':Item_' || i.k, 'Class::' || b.path || ':Item_' || b.k, 'EXTENDS' FROM items i JOIN items b ON b.k::VARCHAR = i.p
+UNION ALL SELECT 'File::' || i.path, 'File::' || b.path, 'IMPORTS' FROM items i JOIN items b ON b.k::VARCHAR = i.p WHERE i.t <> 1""")
+def class_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Methods, bases and imports of built sources."""
+    _, edges = build.sync(resolve.resolve_imports(cut(extract(views.class_sources(spark, sf_dir)))))
+    return edges.filter(F.col("type").isin("HAS_METHOD", "EXTENDS", "IMPORTS")).select("src", "dst", "type")
+
+
 # --- Communities ------------------------------------------------------------------------------------------------------
 
 
@@ -428,6 +503,18 @@ def louvain_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return community.partition(views.part_nodes(spark, sf_dir), views.part_edges(spark, sf_dir), 1.0)
 
 
+@query("SELECT count(*) AS nodes, count(DISTINCT p_partkey) AS placed, true AS labels_are_members, true AS gains FROM part")
+def louvain_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for any good partition: each node once, labels among their members, and modularity above both that
+    of single nodes and that of one community (0)."""
+    nodes, edges = views.part_nodes(spark, sf_dir), cut(views.part_edges(spark, sf_dir))
+    labels = cut(community.partition(nodes, edges, 1.0))
+    own = labels.groupBy("label").agg(F.max(F.col("node_id") == F.col("label")).alias("own"))
+    gains = community.quality(cut(community.projection(edges)), labels) > 0.01
+    held = labels.agg(F.count("*").alias("nodes"), F.count_distinct("node_id").alias("placed"))
+    return held.select("nodes", "placed", F.lit(own.filter("NOT own").isEmpty()).alias("labels_are_members"), F.lit(gains).alias("gains"))
+
+
 @query("""
 WITH m AS (SELECT c_mktsegment AS s, count(*) AS n, string_agg(c_name, ', ' ORDER BY c_custkey) FILTER (r <= 10) AS members FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS r FROM customer) GROUP BY 1)
 SELECT 'segment' || s AS id, s AS name, n AS member_count, members, '' AS summary FROM m ORDER BY n DESC, s LIMIT 20""")
@@ -546,12 +633,13 @@ def suppressed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.suppressed(e, cursor="view", keys=("user_id",), window_ms=3_600_000).select("event_id")
 
 
-@query("""WITH e AS (SELECT event_id, event_id % 40 AS k FROM events)
-SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'File::' || n_nationkey WHEN event_id % 3 = 1 THEN (SELECT 'Function::' || min(c_custkey) FROM customer WHERE c_name = 'nobody' OR c_custkey = k) END AS node_id
-FROM e LEFT JOIN nation ON n_nationkey = k""")
+@query("""WITH e AS (SELECT event_id, event_id % (SELECT 1 + max(c_custkey) FROM customer) AS k FROM events)
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'File::' || n_nationkey WHEN event_id % 3 = 1 THEN 'Function::' || c_custkey END AS node_id
+FROM e LEFT JOIN nation ON n_nationkey = k LEFT JOIN customer ON c_custkey = k""")
 def event_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = views.place_nodes(spark, sf_dir)
-    e = views.table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 40).alias("k"))
+    all_targets = 1 + (views.table(spark, sf_dir, "customer").agg(F.max("c_custkey")).first()[0] or 0)
+    e = views.table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % all_targets).alias("k"))
     nation = views.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("k"), F.col("n_name").alias("n"))
     customer = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("c"))
     kind = F.when(F.col("event_id") % 3 == 0, "file").when(F.col("event_id") % 3 == 1, "function").otherwise("query")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weft.functions.extract import extract
 from weft.operators import build, community, resolve, search, traverse, vectors
+from weft.plans.lineage import cut
 from weft.sources import repository, snapshots
 from weft.streaming import events
 
@@ -27,20 +28,31 @@ class Engine:
     repo: str | None = None
     events_folder: str | None = None
     embedder: Callable[[], vectors.Embedder] = field(default=vectors.HashingEmbedder)
+    service: vectors.Service | None = None
 
     @classmethod
     def parse(cls, spark: SparkSession, *roots: str, communities: bool = True, embed: bool = False, **more) -> Engine:
-        """Walk, extract, resolve and build; then communities and vectors."""
-        parsed = resolve.resolve_imports(extract(repository.walk(spark, *roots)))
-        nodes, edges = build.sync(parsed)
+        """Walk, extract, resolve and build; then communities and vectors. Each step is written, so that files are read
+        once, whatever is asked of the graph."""
+        parsed = cut(resolve.resolve_imports(cut(extract(repository.walk(spark, *roots)))))
+        nodes, edges = map(cut, build.sync(parsed))
         membership = None
         if communities:
             nodes, edges, membership = community.detect(nodes, edges)
+            nodes, edges, membership = cut(nodes), cut(edges), cut(membership)
         engine = cls(spark, nodes, edges, membership, repo=repository.repo_name(roots[0]) if len(roots) == 1 else None, **more)
         if embed:
-            engine.store = vectors.generate(nodes, edges, engine.embedder)
+            engine.store = cut(vectors.generate(nodes, edges, engine.embedder))
         return engine
 
+    @classmethod
+    def configured(cls, spark: SparkSession, config: repository.Config, **more) -> Engine | None:
+        """The saved graph that the configuration names, with its vectors if there are any; None without a graph."""
+        found = cls.load(spark, config.graph(), repo=repository.repo_name(config.repo_path or "") or None, **more)
+        if found:
+            found.store = snapshots.load_vectors(spark, config.vectors())
+        return found
+
     @classmethod
     def load(cls, spark: SparkSession, path: str, **more) -> Engine | None:
         found = snapshots.load_graph(spark, path)
@@ -94,14 +106,16 @@ class Engine:
         self._said("semantic_search", query, "query")
         if self.store is None:
             raise ValueError("there are no vectors")
-        return vectors.semantic_search(self.store, self.nodes, query, limit, self.embedder())
+        if self.service is None:
+            self.service = vectors.Service(self.embedder)
+        return vectors.semantic_search(self.store, self.nodes, query, limit, self.service.embedder())
 
     def call(self, tool: str, **arguments) -> dict:
         """A tool by name, as text; an error becomes an answer that says so."""
         try:
             if tool not in TOOLS:
                 raise ValueError(f"no such tool: {tool}")
-            return {"isError": False, "text": snapshots.as_json(getattr(self, tool)(**arguments))}
+            return {"isError": False, "text": snapshots.as_json(getattr(self, tool)(**valid(tool, arguments)))}
         except Exception as e:  # noqa: BLE001  the caller gets it as text
             return {"isError": True, "text": f"{type(e).__name__}: {e}"}
 
@@ -112,4 +126,39 @@ class Engine:
         return json.dumps({"nodes": snapshots.json_rows(chosen), "edges": snapshots.json_rows(edges)})
 
 
-TOOLS = ("search_code", "get_file_structure", "get_dependencies", "get_dependents", "get_call_graph", "find_related", "get_repo_summary", "query_graph", "get_communities", "semantic_search")
+#: Of each tool's arguments what they may be: text, a whole number from 0, one of several words, or a list of words.
+_TEXT, _NUMBER, _WORDS = "text", "number", "words"
+TOOLS = {
+    "search_code": {"pattern": _TEXT, "kind": ("Function", "Class", "Interface", "Variable", "File", "Module", None), "limit": _NUMBER},
+    "get_file_structure": {"path": _TEXT},
+    "get_dependencies": {"path": _TEXT, "depth": _NUMBER},
+    "get_dependents": {"path": _TEXT, "depth": _NUMBER},
+    "get_call_graph": {"function": _TEXT, "depth": _NUMBER, "direction": ("callers", "callees", "both")},
+    "find_related": {"name": _TEXT, "hops": _NUMBER},
+    "get_repo_summary": {},
+    "query_graph": {"start": _TEXT, "kinds": _WORDS, "direction": ("in", "out", "both"), "depth": _NUMBER},
+    "get_communities": {"level": _NUMBER, "limit": _NUMBER},
+    "semantic_search": {"query": _TEXT, "limit": _NUMBER},
+}
+
+
+def valid(tool: str, arguments: dict) -> dict:
+    """The arguments, if the tool takes them; else an error that names the first that it doesn't. Empty texts are texts:
+    as a pattern one is part of every name, as a name it is nobody's."""
+    takes = TOOLS[tool]
+    for name, value in arguments.items():
+        kind = takes.get(name, "")
+        if kind == "":
+            raise ValueError(f"{tool} has no argument {name}")
+        if kind == _TEXT and not isinstance(value, str):
+            raise ValueError(f"{name}: a text is needed, not {value!r}")
+        if kind == _NUMBER:
+            search.checked(value)
+        if kind == _WORDS and value is not None and (isinstance(value, str) or not all(isinstance(x, str) for x in value)):
+            raise ValueError(f"{name}: a list of texts or nothing is needed, not {value!r}")
+        if isinstance(kind, tuple) and value not in kind:
+            raise ValueError(f"{name}: one of {kind} is needed, not {value!r}")
+    missing = [name for name, kind in takes.items() if kind == _TEXT and name not in arguments]
+    if missing:
+        raise ValueError(f"{tool} needs {missing[0]}")
+    return arguments

@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 
 def prepared(spark: SparkSession) -> None:
-    """Make sure that checkpoints have a folder: the cluster's, or our own where it names none."""
+    """Make sure that checkpoints have a folder: the one that spark.checkpoint.dir names. Only a local master, whose
+    executors share the driver's disk, may do without it and gets a folder of our own."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="weft-")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = "file://" + tempfile.mkdtemp(prefix="weft-")
         spark.sparkContext.setCheckpointDir(folder)
 
 

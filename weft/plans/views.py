@@ -29,8 +29,8 @@ def part_nodes(spark: SparkSession, sf_dir: str, kind: str = "Function") -> Data
 
 
 def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(s, d): parts next to each other among an order's large lines."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_quantity >= 40")
+    """(s, d): parts next to each other among an order's lines."""
+    lines = table(spark, sf_dir, "lineitem")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     pairs = lines.select(F.col("l_partkey").alias("s"), F.lead("l_partkey").over(w).alias("d"))
     return pairs.filter("d IS NOT NULL AND s <> d").distinct()
@@ -99,3 +99,55 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = pick(lambda b: text(b[2]))
     path = F.concat(F.lit("src/m"), other, F.lit("/f"), k, pick(lambda b: F.lit(b[1])))
     return p.select(F.lit(REPO).alias("repo"), path.alias("path"), F.lit(None).cast("string").alias("absolute_path"), pick(lambda b: F.lit(b[0])).alias("language"), F.octet_length(content).cast("bigint").alias("size"), content.alias("content"))
+
+
+def class_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FILES rows: a source with a class for each customer, in TypeScript, C# or Python. It extends the class of the
+    customer twelve before, whose file is beside it, or one that isn't there."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("n"))
+    k, base = F.col("n").cast("string"), F.when(F.col("n") >= 12, (F.col("n") - 12).cast("string")).otherwise("x")
+    ts = """import { Item_P } from "./cP";
+import fs from "fs";
+
+export interface Shape_K { size: number; }
+
+export const limit_K: number = 5;
+
+export class Item_K extends Item_P implements Shape_K {
+  async load(path: string): Promise<void> {
+    helper_K(path);
+  }
+  stop(): number { return 1; }
+}
+
+export default function make_K(a: number): Item_K {
+  return build(a);
+}
+"""
+    cs = """using System;
+
+public interface IItem_K { void Run(); }
+
+public abstract class Item_K : Item_P, IItem_K {
+    public void Run() { Helper_K(); }
+    private int Count(int a) { return a; }
+}
+"""
+    py = """from .cP import Item_P
+import os
+
+LIMIT_K = 3
+
+class Item_K(Item_P):
+    def run(self, a):
+        return helper_K(a)
+
+    async def stop(self):
+        pass
+"""
+    kinds = (("typescript", ".ts", ts), ("csharp", ".cs", cs), ("python", ".py", py))
+    filled = lambda text: F.replace(F.replace(F.lit(text.replace("cP", "c<P>").replace("_P", "_<P>").replace("_K", "_<K>")), F.lit("<K>"), k), F.lit("<P>"), base)
+    pick = lambda f: F.coalesce(*[F.when(F.col("n") % 3 == i, f(kind)) for i, kind in enumerate(kinds)])
+    content = pick(lambda x: filled(x[2]))
+    path = F.concat(F.lit("lib/m"), (F.col("n") % 4).cast("string"), F.lit("/c"), k, pick(lambda x: F.lit(x[1])))
+    return c.select(F.lit(REPO).alias("repo"), path.alias("path"), F.lit(None).cast("string").alias("absolute_path"), pick(lambda x: F.lit(x[0])).alias("language"), F.octet_length(content).cast("bigint").alias("size"), content.alias("content"))

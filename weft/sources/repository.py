@@ -3,7 +3,7 @@
     spark.dataSource.register(RepositorySource)
     spark.read.format("repository").option("paths", "/src/a,/src/b").load()
 
-Every directory at the top of a repository is a partition, its loose files another. Ignored directories are pruned
+Directories are partitions, opened level by level until there are enough of them; loose files of one are another. Ignored directories are pruned
 before they are entered, extensions tested before files are read, and contents of binary kinds never read. Roots must be
 on storage that all executors see."""
 
@@ -19,6 +19,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from weft.functions.scalars import BINARY, IGNORED, LANGUAGES, SUPPORTED
 from weft.schema import FILES
 
+#: Partitions that a scan is divided into, if there are as many directories.
+PARTS = 256
+
 
 @dataclass(frozen=True)
 class Config:
@@ -27,11 +30,29 @@ class Config:
     ignore: tuple[str, ...] = IGNORED
     extensions: tuple[str, ...] = SUPPORTED
     data_dir: str | None = None
+    repo_path: str | None = None
+    data_file: str | None = None
+    embeddings_file: str | None = None
+    model_cache: str | None = None
 
     @classmethod
     def load(cls, **overrides) -> Config:
-        """Defaults, then the environment (WEFT_DATA_DIR), then overrides."""
-        return cls(**{"data_dir": os.environ.get("WEFT_DATA_DIR"), **overrides})
+        """Defaults, then the environment (WEFT_DATA_DIR, WEFT_REPO_PATH, WEFT_DATA_FILE, WEFT_EMBEDDINGS_FILE,
+        WEFT_MODEL_CACHE), then overrides; the repository is else the working folder."""
+        names = ("data_dir", "repo_path", "data_file", "embeddings_file", "model_cache")
+        return cls(**{"repo_path": os.getcwd(), **{n: v for n in names if (v := os.environ.get(f"WEFT_{n.upper()}"))}, **overrides})
+
+    def _within(self, kind: str) -> str:
+        return default_paths(self.data_dir, "")[kind] if self.data_dir else default_paths(self.repo_path or ".")[kind]
+
+    def graph(self) -> str:
+        return self.data_file or self._within("graph")
+
+    def vectors(self) -> str:
+        return self.embeddings_file or self._within("vectors")
+
+    def models(self) -> str:
+        return self.model_cache or os.path.join(os.path.dirname(self.graph()), "model-cache")
 
 
 def default_paths(workspace: str, folder: str = ".weft") -> dict[str, str]:
@@ -59,12 +80,12 @@ def _rows(root: str, below: str, names: list[str] | None, config: Config) -> Ite
     for name in names:
         path = os.path.join(below, name) if below else name
         full = os.path.join(root, path)
-        if name in config.ignore or os.path.islink(full):
+        if os.path.basename(name) in config.ignore or os.path.islink(full):
             continue
         if os.path.isdir(full):
             yield from _rows(root, path, None, config)
             continue
-        ext = _extension(name)
+        ext = _extension(os.path.basename(name))
         if ext not in config.extensions or not os.path.isfile(full):
             continue
         try:
@@ -79,7 +100,7 @@ def _rows(root: str, below: str, names: list[str] | None, config: Config) -> Ite
 
 
 class _Part(InputPartition):
-    def __init__(self, root: str, names: list[str]):
+    def __init__(self, root: str, names: list[str] | None):
         self.root, self.names = root, names
 
 
@@ -88,17 +109,26 @@ class _Reader(DataSourceReader):
         self.roots, self.config = roots, config
 
     def partitions(self) -> list[InputPartition]:
-        parts = []
-        for root in self.roots:
-            try:
-                names = sorted(n for n in os.listdir(root) if n not in self.config.ignore)
-            except OSError:
-                continue
-            folders = [n for n in names if os.path.isdir(os.path.join(root, n)) and not os.path.islink(os.path.join(root, n))]
-            parts += [_Part(root, [n]) for n in folders]
-            loose = [n for n in names if n not in set(folders)]
-            if loose:
-                parts.append(_Part(root, loose))
+        """Folders with their loose files, and folders below them: the largest are opened level by level until there are
+        `PARTS`, so that a repository with a single top folder is read by many tasks as well."""
+        parts, level = [], [(root, "") for root in self.roots]
+        while level and len(parts) + len(level) < PARTS:
+            below = []
+            for root, at in level:
+                try:
+                    names = sorted(n for n in os.listdir(os.path.join(root, at)) if n not in self.config.ignore)
+                except OSError:
+                    continue
+                full = lambda n, root=root, at=at: os.path.join(root, at, n)
+                folders = {n for n in names if os.path.isdir(full(n)) and not os.path.islink(full(n))}
+                below += [(root, os.path.join(at, n) if at else n) for n in names if n in folders]
+                loose = [n for n in names if n not in folders]
+                if loose:
+                    parts.append(_Part(root, [os.path.join(at, n) if at else n for n in loose]))
+            level = below
+        parts += [_Part(root, [at]) for root, at in level if at]
+        if level and not all(at for _, at in level):
+            parts += [_Part(root, None) for root, at in level if not at]
         return parts or [_Part("", [])]
 
     def read(self, partition: _Part) -> Iterator[tuple]:

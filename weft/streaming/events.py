@@ -56,23 +56,26 @@ def gate(events: DataFrame, ts: str = "ts_ms", order: str = "seq", key: str | No
 
 
 def gate_stream(events: DataFrame, ts: str = "ts_ms", order: str | None = None) -> DataFrame:
-    """The gate over a stream, with one slot a tool: state is the last time that passed. Rows of a micro-batch are taken
-    in order of arrival (`order`, if there is such a column)."""
+    """The gate over a stream. There is one slot for all tools: its state is the last time that passed. Rows of a
+    micro-batch are taken in order of arrival (`order`, if there is such a column)."""
     schema = events.schema
 
     def passed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches))
-        if order:
-            rows = rows.sort_values(order, kind="stable")
-        keep = []
-        for t in rows[ts].tolist():
-            keep.append(last is None or t > last)
-            last = t if keep[-1] else last
-        state.update((last,))
-        yield rows[keep]
-
-    return events.groupBy("tool").applyInPandasWithState(passed, schema, "last bigint", "append", GroupStateTimeout.NoTimeout)
+        # Only what is to be sorted is gathered; else batches go through one by one.
+        parts = [pd.concat(list(batches)).sort_values(order, kind="stable")] if order else batches
+        for rows in parts:
+            before = rows[ts].cummax().shift()
+            if last is not None:
+                before = before.fillna(last).clip(lower=last)
+            kept = rows[before.isna() | (rows[ts] > before)]
+            if len(kept):
+                last = int(kept[ts].iloc[-1])
+            yield kept[schema.names]
+        if last is not None:
+            state.update((last,))
+
+    return events.withColumn("__slot", F.lit(0)).groupBy("__slot").applyInPandasWithState(passed, schema, "last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def debounce(events: DataFrame, value: str, ts: str = "ts", gap: str = "300 milliseconds", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -82,9 +85,22 @@ def debounce(events: DataFrame, value: str, ts: str = "ts", gap: str = "300 mill
 
 
 def suppressed(events: DataFrame, kind: str = "event_type", click: str = "click", cursor: str = "cursor", ts_ms: str = "ts_ms", keys: tuple[str, ...] = (), window_ms: int = SUPPRESS_MS) -> DataFrame:
-    """Without cursor events that come up to `window_ms` after a click (of the same keys)."""
-    clicks = F.max(F.when(F.col(kind) == click, F.col(ts_ms))).over(Window.partitionBy(*keys).orderBy(ts_ms).rangeBetween(-window_ms, 0))
-    return events.withColumn("__c", clicks).filter((F.col(kind) != cursor) | F.col("__c").isNull()).drop("__c")
+    """Without cursor events that come up to `window_ms` after a click (of the same keys).
+
+    Without keys the last click is taken inside ranges of time first, then over the ranges, so that no task sees all
+    events."""
+    clicked = F.when(F.col(kind) == click, F.col(ts_ms))
+    if keys:
+        last = F.max(clicked).over(Window.partitionBy(*keys).orderBy(ts_ms).rangeBetween(-window_ms, 0))
+        return events.withColumn("__c", last).filter((F.col(kind) != cursor) | F.col("__c").isNull()).drop("__c")
+    from weft.plans.lineage import cut
+
+    parts = cut(events.repartitionByRange(ts_ms).withColumn("__part", F.spark_partition_id()))
+    inside = F.max(clicked).over(Window.partitionBy("__part").orderBy(ts_ms).rangeBetween(Window.unboundedPreceding, 0))
+    over = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    earlier = parts.groupBy("__part").agg(F.max(clicked).alias("__t")).select("__part", F.max("__t").over(over).alias("__e"))
+    held = parts.withColumn("__c", inside).join(F.broadcast(earlier), "__part").withColumn("__c", F.greatest("__c", "__e"))
+    return held.filter((F.col(kind) != cursor) | F.col("__c").isNull() | (F.col(ts_ms) - F.col("__c") > window_ms)).drop("__part", "__c", "__e")
 
 
 def dispatch(events: DataFrame, nodes: DataFrame) -> DataFrame:
