@@ -13,9 +13,12 @@ from pyspark.sql.types import DataType, StructField, StructType
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where none is set (tests), a folder of our own."""
+    """The cluster's spark.checkpoint.dir. Only a local master, whose executors share the driver's disk (tests), may do
+    without it and gets a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="weft-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
