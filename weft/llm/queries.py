@@ -80,6 +80,13 @@ def _op1_sql() -> str:
         "no_letters": "10 * n_letter_words < 6 * n_words",
         "capitals": "10 * n_capitals > 4 * word_chars",
     }.items()}
+    any_script = tests | {name: f"CASE WHEN {sql} THEN {1 << quality.RULES[name][0]} ELSE 0 END" for name, sql in {
+        "few_words": "n_units < 20",
+        "symbols": "10 * n_symbols > 3 * n_units",
+        "long_words": "spaced_chars > 20 * n_spaced_words",
+        "no_letters": "10 * n_any_letter_words < 6 * n_words",
+    }.items()}
+    unspaced = quality.UNSPACED.replace("{Is", "{")
     return rf"""
     WITH d AS (
       SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {words} AS w,
@@ -97,11 +104,18 @@ def _op1_sql() -> str:
              len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
              coalesce(cov.n, 0) AS n_repeat_words,
              len(list_filter(w, lambda x: lower(x) <> upper(x))) AS n_letter_words,
-             len(regexp_extract_all(text, '[A-Z]')) AS n_capitals
+             len(regexp_extract_all(text, '[A-Z]')) AS n_capitals,
+             list_filter(w, lambda x: NOT regexp_matches(x, '{unspaced}')) AS spaced,
+             len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS with_letters,
+             len(regexp_extract_all(text, '{unspaced}')) AS n_unspaced
       FROM d LEFT JOIN cov USING (r)),
-    b AS (SELECT *, CAST({" + ".join(tests.values())} AS BIGINT) AS failed_bits FROM m)
+    u AS (
+      SELECT *, len(spaced) AS n_spaced_words, coalesce(list_sum(list_transform(spaced, lambda x: length(x))), 0)::BIGINT AS spaced_chars, len(spaced) + n_unspaced AS n_units,
+             CASE WHEN 10 * n_letter_words < 6 * n_words THEN with_letters ELSE n_letter_words END AS n_any_letter_words
+      FROM m),
+    b AS (SELECT *, CAST({" + ".join(tests.values())} AS BIGINT) AS failed_bits, CAST({" + ".join(any_script.values())} AS BIGINT) AS failed_any_script FROM u)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-           (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, failed_bits = 0 AS kept, failed_bits
+           (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, failed_any_script = 0 AS kept, failed_bits
     FROM b"""
 
 
