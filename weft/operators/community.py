@@ -14,8 +14,8 @@ from weft.schema import COMMUNITY_EDGES, EDGES, NODES, PHASE, PHASES
 #: Edge weights by type (others 1), and the resolution of each level.
 WEIGHTS = {"CALLS": 3.0, "IMPORTS": 2.0, "HAS_METHOD": 2.0, "EXTENDS": 2.0, "CONTAINS": 1.0, "IMPORTS_EXTERNAL": 0.5}
 RESOLUTIONS = (0.5, 1.0, 2.0)
-#: Links (two a pair) that one task settles, about; and the least gain in modularity that counts.
-BLOCK, GAIN = 100_000, 1e-9
+#: Links (two a pair) that one task settles, about; and the gain in modularity below which a sweep is the last of its level.
+BLOCK, GAIN = 100_000, 1e-3
 
 
 def projection(edges: DataFrame) -> DataFrame:
