@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 #: Pieces that a worker remembers, and the longest piece that it does; beyond, the memory starts anew.
-MOST_PIECES, LONGEST = 400_000, 64
+MOST_PIECES, LONGEST = 600_000, 64
 
 _held: dict = {}
 _DOUBLE, _SINGLE = re.compile(r" \s|\s "), re.compile(r"(?<=\S) (?=\S)")
@@ -101,7 +101,7 @@ class Words:
         """The ids of a pre-token."""
         ids = self.words.get(word)
         if ids is None:
-            if len(self.words) >= MOST_PIECES // 2:
+            if len(self.words) >= MOST_PIECES // 6:
                 self.words.clear()
             shown = word if word.isascii() and word.isalpha() else "".join([self.map[b] for b in word.encode()])
             ids = self.words[word] = array("I", [t.id for t in self.whole.model.tokenize(shown)]).tobytes()
@@ -282,16 +282,21 @@ class Memory:
     """What a function says of pieces, remembered within bounds. `of` maps a list of distinct pieces to their values."""
 
     def __init__(self, of: Callable[[list[str]], list]):
-        self.of, self.known = of, {}
+        self.of, self.known, self.older = of, {}, {}
 
     def __call__(self, pieces: list[str]) -> dict:
         """A dict that has at least these pieces."""
         new = set(pieces).difference(self.known)
         if not new:
             return self.known
-        if len(self.known) + len(new) > MOST_PIECES:
-            # What the texts at hand use stays: common words are among it.
-            self.known = {p: self.known[p] for p in set(pieces) if p in self.known}
+        if len(self.known) + len(new) > MOST_PIECES // 2:
+            # Two generations: what is used again comes over, what isn't goes with the older one.
+            self.older, self.known = self.known, {p: self.known[p] for p in set(pieces) if p in self.known}
+        again = {p: self.older[p] for p in new if p in self.older}
+        self.known.update(again)
+        new.difference_update(again)
+        if not new:
+            return self.known
         new = list(new)
         values = dict(zip(new, self.of(new), strict=True))
         long = {p: v for p, v in values.items() if len(p) > LONGEST}
