@@ -196,6 +196,17 @@ def test_blocks_find_communities_as_good(spark):
     assert found > 0.95 * best > 0.4
 
 
+def test_many_blocks_gain_without_clear_communities(spark):
+    """Of a random graph each of many blocks holds a few nodes of a neighbourhood, and all move at once."""
+    r = random.Random(5)
+    pairs = sorted({tuple(sorted(r.sample(range(100), 2))) for _ in range(500)})
+    rows = [(f"n{a:03}", f"n{b:03}", 3.0) for a, b in pairs]
+    df = spark.createDataFrame(rows, "a string, b string, weight double")
+    label = {x["node_id"]: x["label"] for x in community.labelled(df, block=100).collect()}
+    assert set(label) == {x for row in rows for x in row[:2]} and all(label[c] == c <= v for v, c in label.items())
+    assert community.modularity(rows, label) > 0.5 * community.modularity(rows, community.louvain(rows)) > 0.06
+
+
 def test_first_weight_of_a_pair_counts(spark):
     edges = make_edges(spark, ("a", "b", "IMPORTS"), ("b", "a", "CALLS"), ("a", "c", "CONTAINS_FILE"), ("a", "Community::x", "BELONGS_TO_COMMUNITY"))
     assert rows(community.projection(edges)) == [("a", "b", 2.0), ("a", "c", 1.0)]
