@@ -274,3 +274,25 @@ def test_enclosing_spans_of_all_lengths(spark):
     for k, p, line in at:
         around = [(b - a, order[i], i) for i, q, a, b in spans if q == p and a <= line <= b]
         assert found[k] == (min(around)[2] if around else None)
+
+
+def test_enclosing_looks_up_each_line_once(spark):
+    """Many positions on the lines of many long spans of one file: rows in between don't grow with their product."""
+    k = 3000
+    df = spark.range(k)
+    nodes = df.selectExpr("concat('s', id) AS id", "'Function' AS type", "concat('p:', id) AS qualified_name", "CAST(NULL AS STRING) AS path", "CAST(id % 3 - 2 AS INT) AS start_line", "CAST(3000 + id % 7 AS INT) AS end_line", "id AS ord")
+    nodes = nodes.unionByName(spark.createDataFrame([("F", "File", None, "p", None, None, 0), ("w", "Class", None, "p", -(2**31), 2**31 - 1, 1)], "id string, type string, qualified_name string, path string, start_line int, end_line int, ord bigint"))
+    at = spark.range(k).selectExpr("id AS pos_id", "'p' AS path", "CAST(id % 50 AS INT) AS line").unionByName(spark.createDataFrame([(k, "p", 2**31 - 1), (k + 1, "p", -(2**31)), (k + 2, "p", None), (k + 3, None, 1), (k + 4, "p", -2)], "pos_id bigint, path string, line int"))
+    out = search.enclosing(nodes, at)
+    found = {x["pos_id"]: x["node_id"] for x in out.collect()}
+    assert [found[k + i] for i in range(5)] == ["w", "w", "F", None, "s0"]
+    assert {found[i] for i in range(k) if i % 50} == {"s14"} and len(found) == k + 5
+    counts, todo = [], [out._jdf.queryExecution().executedPlan().executedPlan()]
+    while todo:
+        node = todo.pop()
+        metric = node.metrics().get("numOutputRows")
+        counts.append(metric.get().value() if metric.isDefined() else 0)
+        inside = [node.plan()] if hasattr(node, "plan") and "QueryStage" in node.nodeName() else []
+        children = node.children()
+        todo += inside + [children.apply(i) for i in range(children.size())]
+    assert max(counts) < 60 * k

@@ -14,6 +14,8 @@ SEARCHED = ("Function", "Class", "Interface", "Variable", "File", "Module")
 LISTED = ("Function", "Class", "Interface", "Variable")
 SEARCH_LIMIT, NODES_LIMIT, GRAPH_LIMIT, COMMUNITIES_LIMIT, SAMPLE = 20, 20, 500, 20, 10
 PALETTE = 20
+#: Lines are whole numbers of 32 bits, and so a span has fewer than 2**33.
+LEVELS = 32
 
 
 def checked(limit: int) -> int:
@@ -151,21 +153,29 @@ def enclosing(nodes: DataFrame, positions: DataFrame) -> DataFrame:
     """For positions (pos_id, path, line): the narrowest function, class or interface of the file around the line, the
     first of equals; else the file itself.
 
-    A span of up to 2**k lines lies in one or two of the file's stretches of 2**k lines. So the join is on the file, k
-    and the stretch: a position meets the spans near it, of all lengths, and not all of the file's."""
-    spans = nodes.filter(F.col("type").isin("Function", "Class", "Interface")).select(F.col("id").alias("node_id"), path_of(F.col("path"), F.col("qualified_name")).alias("path"), "start_line", "end_line", F.col("ord").alias("node_ord"))
-    spans = spans.filter("start_line <= end_line")
+    Equal spans count once, by their first node. A span is cut into the largest aligned stretches of 2**k lines that make it
+    up, at most two for each k, and each stretch keeps the best of its spans. A line lies in one stretch for each k, so it
+    meets one row for each at most, however many spans a file has; lines that positions share are looked up once."""
     long = lambda c: F.col(c).cast("bigint")
-    length = long("end_line") - long("start_line")
-    levels = [length >= (1 << k) for k in range(31)]
-    spans = spans.withColumn("level", sum((F.when(x, 1).otherwise(0) for x in levels), F.lit(0)))
-    shift = lambda value: F.call_function("shiftright", value, F.col("level"))
-    placed = spans.withColumn("stretch", F.explode(F.sequence(shift(long("start_line")), shift(long("end_line")))))
-    at = positions.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(len(levels))))).withColumn("stretch", shift(long("line")))
-    inside = at.join(placed, ["path", "level", "stretch"]).filter((F.col("start_line") <= F.col("line")) & (F.col("line") <= F.col("end_line")))
-    best = inside.groupBy("pos_id").agg(F.min_by("node_id", F.struct(F.col("end_line") - F.col("start_line"), "node_ord")).alias("node_id"))
-    files = nodes.filter(F.col("type") == "File").select(F.col("id").alias("file_id"), "path")
-    return positions.join(best, "pos_id", "left").join(files, "path", "left").select("pos_id", "path", "line", F.coalesce("node_id", "file_id").alias("node_id"))
+    nodes_at = nodes.filter(F.col("type").isin("Function", "Class", "Interface")).select(F.col("id").alias("node_id"), path_of(F.col("path"), F.col("qualified_name")).alias("path"), long("start_line").alias("a"), long("end_line").alias("b"), F.col("ord").alias("node_ord"))
+    spans = nodes_at.filter("a <= b AND path IS NOT NULL").groupBy("path", "a", "b").agg(F.min(F.struct("node_ord", "node_id")).alias("first"))
+    right = lambda value, k: F.call_function("shiftright", value, k)
+
+    def stretches(k: Column) -> Column:
+        """What is left at k, [low, high), gives its first stretch if that is odd, and its last if that is even."""
+        low, high = right(F.col("a") + right(F.lit((1 << LEVELS) - 1).cast("bigint"), F.lit(LEVELS) - k), k), right(F.col("b") + 1, k)
+        one = lambda odd, at: F.when((low < high) & (F.pmod(odd, F.lit(2)) == 1), F.struct(k.alias("level"), at.alias("stretch")))
+        return F.array(one(low, low), one(high, high - 1))
+
+    pieces = spans.select("path", (F.col("b") - F.col("a")).alias("length"), "first", F.explode(F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), stretches)))).alias("at"))
+    best = pieces.groupBy("path", "at.level", "at.stretch").agg(F.min(F.struct("length", "first")).alias("best"))
+    lines = positions.select("path", "line").distinct()
+    asked = lines.filter("line IS NOT NULL").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).withColumn("stretch", right(long("line"), F.col("level")))
+    found = asked.join(best, ["path", "level", "stretch"]).groupBy("path", "line").agg(F.min("best").alias("best")).select(F.col("path").alias("p"), F.col("line").alias("l"), F.col("best.first.node_id").alias("node_id"))
+    files = nodes.filter(F.col("type") == "File").select(F.col("id").alias("file_id"), F.col("path").alias("f"))
+    known = lines.join(found, (F.col("path") == F.col("p")) & (F.col("line") == F.col("l")), "left").join(files, F.col("path") == F.col("f"), "left")
+    known = known.select(F.col("path").alias("p"), F.col("line").alias("l"), F.coalesce("node_id", "file_id").alias("node_id"))
+    return positions.join(known, F.col("path").eqNullSafe(F.col("p")) & F.col("line").eqNullSafe(F.col("l")), "left").select("pos_id", "path", "line", "node_id")
 
 
 def distinct_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
