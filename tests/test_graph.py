@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 
 from weft.functions.extract import extract
 from weft.operators import build, community, resolve, search, traverse, vectors
+from weft.plans.catalogue import QUERIES
 from weft.plans.engine import Engine
 from weft.schema import EDGES, FILES, MEMBERSHIP, NODES
 
@@ -87,6 +88,16 @@ def test_edges(graph):
     assert not {x for x in found if x[0] == x[1]}
 
 
+def test_classes_and_interfaces_in_one_pass(spark, parsed):
+    files = build.placed(parsed).cache()
+    both = build.class_and_interface_nodes(files)
+    assert rows(both.select("ord", *both.columns[:2])) == rows(build.class_nodes(files).unionByName(build.interface_nodes(files)).select("ord", *both.columns[:2]))
+    assert both.exceptAll(build.class_nodes(files).unionByName(build.interface_nodes(files))).count() == 0 < both.count()
+    # Nothing is parsed before the query runs, and then once: not for ranges too.
+    found = QUERIES["class_interface_nodes"](spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+
+
 def test_sync_counts_and_replacement(spark, parsed, graph):
     counts = build.sync_counts(parsed).first().asDict()
     assert counts == {"file_count": 8, "function_count": 9, "class_count": 2, "interface_count": 1, "module_count": 2}

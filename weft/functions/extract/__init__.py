@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from weft.functions.extract.cfamily import extract_c, extract_cpp, extract_csharp, extract_swift
 from weft.functions.extract.python import extract as extract_python
@@ -33,12 +34,14 @@ def extract_text(language: str, content: str) -> dict:
 
 def extract(files: DataFrame) -> DataFrame:
     """PARSED rows of FILES rows. Sizes and line counts are computed by Spark, lists in Python; a file whose extractor
-    fails keeps its row with empty lists and the error."""
+    fails keeps its row with empty lists and the error. Files that are placed already (`build.placed`) keep their rank."""
+    rank = [c for c in ("file",) if c in files.columns]
+    schema = StructType(PARSED.fields + [StructField(c, LongType()) for c in rank])
     code = F.col("language").isin(*EXTRACTORS)
     text = F.coalesce("content", F.lit(""))
     lines = F.size(F.split(text, "\n"))
     sized = files.select(
-        "repo", "path", "language",
+        "repo", "path", "language", *rank,
         F.when(code, F.octet_length(text)).otherwise(0).cast("bigint").alias("size"),
         F.when(code | (text != ""), lines).otherwise(0).cast("int").alias("lineCount"),
         F.when(code, text).alias("content"),
@@ -54,10 +57,10 @@ def extract(files: DataFrame) -> DataFrame:
                         found = extract_text(row.language, row.content)
                     except Exception as e:  # noqa: BLE001  one bad file doesn't end the scan
                         error = f"{type(e).__name__}: {e}"
-                rows.append({"repo": row.repo, "path": row.path, "language": row.language, "size": row.size, "lineCount": row.lineCount, **found, "error": error})
-            yield pd.DataFrame(rows, columns=PARSED.fieldNames())
+                rows.append({"repo": row.repo, "path": row.path, "language": row.language, "size": row.size, "lineCount": row.lineCount, **found, "error": error, **{c: getattr(row, c) for c in rank}})
+            yield pd.DataFrame(rows, columns=schema.fieldNames())
 
-    return sized.mapInPandas(run, PARSED)
+    return sized.mapInPandas(run, schema)
 
 
 def diagnostics(parsed: DataFrame) -> DataFrame:
