@@ -2,12 +2,15 @@
 columns, and on empty tables."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -267,6 +270,27 @@ def test_packing_covers_every_id_once(docs, empty):
     assert packing.pack(empty, WORD).count() == 0
 
 
+def test_packing_encodes_a_word_once_in_whatever_spelling(monkeypatch):
+    words = ["".join(x) for x in itertools.product("abcdefgh", "aeiou", "lmnrst", "aé")]
+    texts = [" ".join(f(w) for w in words) for f in (str, str.title, str.upper, "{},".format, "({})".format, "{}.\n".format, "{}&&&".format)]
+    monkeypatch.setattr(tokens, "_held", {})  # a worker that has seen nothing
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    whole, asked = tokens.library(WORD), Counter()
+    for name in ("plain", "word"):
+        monkeypatch.setattr(tokens.Words, name, lambda self, x, f=getattr(tokens.Words, name), name=name: asked.update([name]) or f(self, x))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array(["a"] * len(texts))], names=["id", "text", "source"])
+    (row,) = (r for b in packing._parts(iter([batch]), WORD, 2, 1 << 20) for r in b.to_pylist())
+    assert packing._wide(row["data"]).tolist() == [i for t in texts for i in [*whole.encode(t, add_special_tokens=False).ids, 2]]
+    assert max(asked.values()) < len(words) / 4  # marks, and what tries the way out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.text(alphabet="aBstREvl1 .,''\n\téÀßÿ×　<|", max_size=40) | st.sampled_from(["don't<|startoftext|>it", "<|ENDOFTEXT|> x", "x" * 100, "5" * 100 + "'s"]), max_size=6))
+def test_texts_have_the_library_s_tokens(texts):
+    found = tokens.held(("texts", WORD), lambda: tokens.Texts(WORD))
+    assert found.short and [np.frombuffer(x, np.uint32).tolist() for x in found(pa.array(texts, pa.string()))] == [tokens.library(WORD).encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_windows_keep_the_proportions():
     sources = ["a", "b", "c"] * 200
     sizes = [300, 100, 50] * 200

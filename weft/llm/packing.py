@@ -37,7 +37,7 @@ def _parts(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int, size: in
     A row is named by what it holds, and by its place only where two hold the same, so that two runs over the same files
     pack alike."""
     last = np.uint32(end).tobytes()
-    memory = tokens.held(("ids", tokenizer), lambda: tokens.Memory(lambda pieces: tokens.encode_bytes(tokenizer, pieces)))
+    encoder = tokens.held(("texts", tokenizer), lambda: tokens.Texts(tokenizer))
     held: dict[str | None, tuple[list, list, list]] = {}
     total = written = 0
 
@@ -52,10 +52,8 @@ def _parts(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int, size: in
         held.clear()
 
     for batch in kernels.slices(batches, "text"):
-        cut = [tokens.split_spaces(t or "") for t in batch.column("text").to_pylist()]
-        known = memory([p for pieces in cut for p in pieces])
-        for key, source, pieces in zip(batch.column("id").to_pylist(), batch.column("source").to_pylist(), cut, strict=True):
-            own = b"".join(map(known.__getitem__, pieces)) + last
+        for key, source, own in zip(batch.column("id").to_pylist(), batch.column("source").to_pylist(), encoder(batch.column("text")), strict=True):
+            own += last
             ids, sizes, raw = held.setdefault(source, ([], [], []))
             ids.append(key)
             sizes.append(len(own) // 4)

@@ -14,6 +14,9 @@ from collections import ChainMap
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+
+from weft.llm import kernels
 
 #: Pieces that a worker remembers, and the longest piece that it does; beyond, the memory starts anew.
 MOST_PIECES, LONGEST = 600_000, 64
@@ -61,6 +64,8 @@ _PLAIN = re.compile(r"[\t\n\x0b\f\r -~À-ÖØ-öø-ÿ]*")
 _BYTE_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+", re.ASCII)
 _WORD_ENDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+", re.ASCII)
 _SAMPLES = ("hello world, it's 1234 o'clock!?", " Été à la plage: 12%\n\n  Über-groß; señor", "a\tb  c (x)... don't WE'RE", "...'s", " x")
+#: Beside these, what is cut into segments.
+_PLAIN_SAMPLES = ("", *_SAMPLES, "IT'S 'stuff' x'y 5's a5b\u00c0\u00df\u00ff\u00e0!\u00ed'", "\u00dcber\t\v\f\rwe'll'd''ve 'm9 #1.5e-3", " \n ")
 
 
 def _byte_characters() -> dict[int, str]:
@@ -148,6 +153,111 @@ def encode(path: str, pieces: list[str]) -> list[list[int]]:
     return [t.encode_ordinary(p) for p in pieces]
 
 
+def _byte_classes() -> tuple[np.ndarray, np.ndarray]:
+    """Of each byte: 0 in no plain text, 1 white space, 2 a letter's, 3 an apostrophe, 4 another mark or digit; and what
+    lower case makes of it. Plain letters beyond ASCII are two bytes, 0xC3 and one that says which."""
+    kind, lower = np.zeros(256, np.uint8), kernels.LOWER.copy()
+    kind[33:127] = 4
+    kind[kernels.SPACE] = 1
+    kind[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = 2
+    kind[[0x97, 0xB7]] = 0  # the signs for times and divided by
+    kind[ord("'")] = 3
+    lower[0x80:0x9F] += 32
+    return kind, lower
+
+
+_KIND, _LOWER = _byte_classes()
+
+
+class Texts:
+    """Ids of whole texts, by tokenizers that drop white space.
+
+    Of the form with `_WORD_ENDS`, plain texts are cut at white space, where letters end, and where letters begin unless
+    an apostrophe stands before them: no match of the pattern has a letter before something else, only one that begins
+    with an apostrophe has one behind, and matches look at nothing around them. So each distinct segment in a column is
+    encoded once, and the texts' ids are taken from these by place. All other texts are cut at spaces, and so are all
+    texts of tokenizers of other forms."""
+
+    def __init__(self, path: str):
+        self.path, self.words = path, held(("words", path), lambda: Words(path)) if path.endswith(".json") else None
+        self.pieces, self.segments = Memory(lambda pieces: encode_bytes(path, pieces)), Memory(self._segments)
+        self.short = self.words is not None and self.words.pattern is _WORD_ENDS
+        # The short way holds only where it gives what the library does.
+        if self.short and self._plain(*kernels.utf8(pa.array(_PLAIN_SAMPLES))) != [array("I", self.words.whole.encode(t, add_special_tokens=False).ids).tobytes() for t in _PLAIN_SAMPLES]:
+            self.short = False
+
+    def __call__(self, column: pa.Array) -> list[bytes]:
+        """The ids of each text as 32-bit numbers; null counts as empty."""
+        if not self.short:
+            return self._cut(column.to_pylist())
+        offsets, data = kernels.utf8(column)
+        plain = self._is_plain(offsets, data)
+        if plain.all():
+            return self._plain(offsets, data)
+        one = iter(self._plain(*kernels.utf8(column.filter(pa.array(plain)))))
+        other = iter(self._cut(column.filter(pa.array(~plain)).to_pylist()))
+        return [next(one if p else other) for p in plain.tolist()]
+
+    def _cut(self, texts: list[str | None]) -> list[bytes]:
+        cut = [split_spaces(t or "") for t in texts]
+        known = self.pieces([p for pieces in cut for p in pieces])
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+
+    def _is_plain(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Which texts are plain and have no special string (in either case)."""
+        odd = np.flatnonzero(_KIND[data] == 0)
+        out = np.ones(len(offsets) - 1, bool)
+        out[np.searchsorted(offsets, odd, side="right") - 1] = False
+        low = _LOWER[data].tobytes()
+        special = [s.encode().lower() for s in self.words.special]
+        if any(s in low for s in special):
+            out &= [not any(s in low[a:b] for s in special) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        return out
+
+    def _plain(self, offsets: np.ndarray, data: np.ndarray) -> list[bytes]:
+        # A space before each text, so that no segment crosses texts.
+        n = len(offsets) - 1
+        kind = np.insert(_KIND[data], offsets[:-1], 1)
+        low = np.insert(_LOWER[data], offsets[:-1], 32)
+        letter, solid = kind == 2, kind != 1
+        first = np.zeros(len(kind), bool)
+        first[1:] = solid[1:] & (~solid[:-1] | (letter[1:] != letter[:-1]) & ~(letter[1:] & (kind[:-1] == 3)))
+        starts = np.flatnonzero(first)
+        last = solid.copy()
+        last[:-1] &= first[1:] | ~solid[1:]
+        ends = np.zeros(len(starts) + 1, np.int64)  # without white space
+        np.cumsum(np.flatnonzero(last) + 1 - starts, out=ends[1:])
+        strings = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(low[solid])])
+        del kind, low, letter, solid, first, last
+        found = strings.dictionary_encode()
+        distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = self.segments(distinct)
+        ids = pa.array(list(map(known.__getitem__, distinct)), pa.large_binary()).take(found.indices)
+        if not len(ids):
+            return [b""] * n
+        at = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1]
+        cuts = at[np.searchsorted(starts, np.append(offsets[:-1] + np.arange(n), len(data) + n))].tolist()
+        raw = memoryview(ids.buffers()[2])
+        return [bytes(raw[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _segments(self, segments: list[str]) -> list[bytes]:
+        """Ids of segments; those of letters alone are one word."""
+        words, tokenize = self.words, self.words.whole.model.tokenize
+        shown = "\n".join(segments).encode().decode("latin-1")
+        for c in set(shown) - {"\n"}:
+            if words.map[ord(c)] != c:
+                shown = shown.replace(c, words.map[ord(c)])
+        out = []
+        for segment, s in zip(segments, shown.split("\n"), strict=True):
+            if segment.isalpha():
+                out.append(array("I", [t.id for t in tokenize(s)]).tobytes())
+            elif len(segment) <= LONGEST:
+                out.append(words.plain(segment))
+            else:
+                out.append(array("I", words.whole.encode(segment, add_special_tokens=False).ids).tobytes())
+        return out
+
+
 def split_words(text: str) -> list[str]:
     """text cut before each single space between two other characters that aren't white space.
 
